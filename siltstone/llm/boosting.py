@@ -104,15 +104,16 @@ def calibrate(model: Trees, x: np.ndarray, y: np.ndarray) -> None:
     model.threshold = float(marks[best[len(best) // 2]])
 
 
-def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, **how: float) -> Trees | None:
+def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, also: np.ndarray, **how: float) -> Trees | None:
     """Trees fit on all rows but those with ``fold`` 0, which calibrate them.
 
-    None if either part lacks one of the two labels.
+    ``also``: the same rows with some features hidden, learnt as well. None if
+    either part lacks one of the two labels.
     """
-    x, y = x.astype(np.float32), y.astype(np.float64)
+    x, also, y = x.astype(np.float32), also.astype(np.float32), y.astype(np.float64)
     held = fold == 0
     if min(y[~held].sum(), (1 - y[~held]).sum(), y[held].sum(), (1 - y[held]).sum()) < 1:
         return None
-    model = grow(x[~held], y[~held], **how)
+    model = grow(np.concatenate([x[~held], also[~held]]), np.concatenate([y[~held], y[~held]]), **how)
     calibrate(model, x[held], y[held])
     return model

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, packing, seen
+from siltstone.llm import bpe, packing, pii, seen
 from siltstone.session import settle
 
 
@@ -52,6 +52,16 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where personal information stands in the documents."""
+    return pii.findings(pii.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_register")))
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with typed placeholders in place of personal information."""
+    return pii.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_register"), redacted=True).select("doc_id", "text")
+
+
 SQL = {
     "p3_found": """
 SELECT DISTINCT incoming_id FROM incoming_key i WHERE key IS NOT NULL AND (
@@ -59,4 +69,4 @@ SELECT DISTINCT incoming_id FROM incoming_key i WHERE key IS NOT NULL AND (
   OR incoming_id > (SELECT min(incoming_id) FROM incoming_key j WHERE j.key = i.key))""",
 }
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_error_rate, p6_ids, p7_packing, p7_fill)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_error_rate, p6_ids, p7_packing, p7_fill, p8_found, p8_redacted)}

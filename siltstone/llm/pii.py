@@ -134,17 +134,17 @@ def train(df: DataFrame, register: Register, id_col: str = "doc_id", text_col: s
         for b in batches:
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                out += [(c.kind, c.label, list(c.form), list(c.hints), (doc_id or 0) % FOLDS) for c in candidates(text, shared.value) if c.label >= 0]
-            names = ("kind", "label", "form", "hints", "fold")
-            types = (pa.string(), pa.int32(), pa.list_(pa.float32()), pa.list_(pa.string()), pa.int32())
+                out += [(c.kind, c.label, list(c.form), list(c.hints), doc_id or 0, c.start, c.end) for c in candidates(text, shared.value) if c.label >= 0]
+            names = ("kind", "label", "form", "hints", "doc_id", "start", "stop")
+            types = (pa.string(), pa.int32(), pa.list_(pa.float32()), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], list(names))
 
-    rows = taken.repartition(df.sparkSession.sparkContext.defaultParallelism, "doc_id").mapInArrow(run, "kind string, label int, form array<float>, hints array<string>, fold int").limit(SAMPLE_ROWS).toPandas()
+    rows = taken.repartition(df.sparkSession.sparkContext.defaultParallelism, "doc_id").mapInArrow(run, "kind string, label int, form array<float>, hints array<string>, doc_id long, start long, stop long").limit(SAMPLE_ROWS).toPandas()
     models = {}
     for kind in KINDS:
-        own = rows[rows["kind"] == kind].sort_values(["fold", "label"], kind="stable")
+        own = rows[rows["kind"] == kind].sort_values(["doc_id", "start", "stop", "label"], kind="stable")  # the fit does not depend on the order of tasks
         form = np.array([np.asarray(f, np.float32) for f in own["form"]], np.float32)
-        models[kind] = fit_kind(kind, form, [list(h) for h in own["hints"]], own["label"].to_numpy(np.float64), own["fold"].to_numpy())
+        models[kind] = fit_kind(kind, form, [list(h) for h in own["hints"]], own["label"].to_numpy(np.float64), own["doc_id"].to_numpy() % FOLDS)
     return models
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.plans import training
+from siltstone.plans import store_queries, training
 
-QUERIES = {**training.QUERIES}
-SQL = {**training.SQL}
+QUERIES = {**store_queries.QUERIES, **training.QUERIES}
+SQL = {**store_queries.SQL, **training.SQL}

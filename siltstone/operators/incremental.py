@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.operators.skew import skew_join
+from siltstone.sources.versions import VersionLog
 
 #: Least number of log numbers in a bucket of the interval join; an interval is repeated once a bucket it touches.
 BUCKET = 64
@@ -76,28 +75,11 @@ class IncrementalTarget:
 
     def __init__(self, spark: SparkSession, path: str, key: list[str]):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
-        self._jvm = spark._jvm
-        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._path(f"{self.path}/versions"))
-
-    def _path(self, name: str):
-        return self._jvm.org.apache.hadoop.fs.Path(name)
-
-    def version(self) -> int:
-        """The last published version; 0 if there is none."""
-        found = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/versions"))]
-        return max((int(x) for x in found if x.isdigit()), default=0)
-
-    def folders(self, version: int | None = None) -> list[str]:
-        """The data folders that a version is made of."""
-        version = self.version() if version is None else version
-        if not version:
-            return []
-        stream = self._fs.open(self._path(f"{self.path}/versions/{version:010d}"))
-        try:
-            return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["folders"]
-        finally:
-            stream.close()
+        self.versions = VersionLog(spark, f"{self.path}/versions")
+
+    def folders(self) -> list[str]:
+        """The data folders that the current version is made of."""
+        return self.versions.read().get("folders", [])
 
     def read(self, schema) -> DataFrame:
         folders = self.folders()
@@ -116,23 +98,12 @@ class IncrementalTarget:
         return attempt
 
     def publish(self, attempt: str, base: int) -> int:
-        """Make ``base + 1`` the current version; fails if another run was faster.
-
-        The version file is written aside and renamed into place without
-        overwriting, so of two runs on the same base one fails.
-        """
-        body = json.dumps({"folders": [*self.folders(base), attempt]})
-        aside, final = self._path(f"{self.path}/{attempt}.version"), self._path(f"{self.path}/versions/{base + 1:010d}")
-        out = self._fs.create(aside, True)
-        out.write(bytearray(body.encode()))
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(aside, final):
-            raise RuntimeError(f"version {base + 1} was published by another run")
-        return base + 1
+        """Make ``base + 1`` the current version; fails if another run was faster."""
+        return self.versions.publish(base, {"folders": [*self.versions.read(base).get("folders", []), attempt]})
 
     def run(self, source: DataFrame, attempt: str, process=lambda df: df) -> int:
         """Process what is pending and publish it as a new version."""
-        base = self.version()
+        base = self.versions.current()
         return self.publish(self.write(process(self.pending(source)), attempt), base)
 
 

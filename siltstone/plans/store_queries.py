@@ -236,9 +236,9 @@ def index_seek(spark, sf_dir):
 
 
 def wal_replay(spark, sf_dir):
-    """Newest changes of the logs that no committed edit covers."""
+    """Newest changes of the logs after the flushed ones, half of those the manifest covers."""
     top = manifest.counters(table(spark, sf_dir, "version_edit")).first()["log_number"]
-    rows = table(spark, sf_dir, "wal_entry").filter(F.col("log_number") > (top if top is not None else -1))
+    rows = table(spark, sf_dir, "wal_entry").filter(F.col("log_number") > (top // 2 if top is not None else -1))
     return shown(read.newest(changelog(rows, F.col("key"), F.col("seq"), F.col("op"), F.col("value"))), "key_hex", "seq", "op")
 
 
@@ -370,7 +370,7 @@ SELECT lpad(hex(c_custkey), 8, '0') AS key_hex, bool_and(bit IN (SELECT bit FROM
     "block_index": L + ", b AS (SELECT key_hex || lpad(hex(seq * 256 + op), 16, '0') AS ik, row_number() OVER (ORDER BY key_hex, seq DESC) - 1 AS i FROM l) SELECT i // 178 AS block, arg_max(ik, i) AS last_key FROM b GROUP BY 1",
     "index_seek": L + ", b AS (SELECT key_hex AS k, row_number() OVER (ORDER BY key_hex, seq DESC) - 1 AS i FROM l), x AS (SELECT i // 178 AS block, arg_max(k, i) AS k FROM b GROUP BY 1) SELECT key_hex, (SELECT min(block) FROM x WHERE x.k >= c.key_hex) AS block FROM c",
     "wal_replay": """WITH w AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC, op DESC) AS v FROM wal_entry
-  WHERE key IS NOT NULL AND seq IS NOT NULL AND op IS NOT NULL AND log_number > (SELECT coalesce(max(log_number), -1) FROM version_edit WHERE state = 'committed'))
+  WHERE key IS NOT NULL AND seq IS NOT NULL AND op IS NOT NULL AND log_number > (SELECT coalesce(max(log_number) // 2, -1) FROM version_edit WHERE state = 'committed'))
 SELECT hex(key) AS key_hex, seq, op FROM w WHERE v = 1""",
     "wal_snapshot": "WITH w AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC, op DESC) AS v FROM wal_entry WHERE key IS NOT NULL AND seq IS NOT NULL AND op IS NOT NULL) SELECT hex(key) AS key_hex, seq FROM w WHERE v = 1 AND op = 1",
     "seek_miss": L + """, f AS (SELECT file_no, min(key_hex) AS lo, max(key_hex) AS hi FROM l GROUP BY 1),

@@ -136,8 +136,10 @@ def emails(text: str) -> Iterator[Candidate]:
         right = HOST.match(text, m.end())
         if not left or not right:
             continue
-        start, end = at - len(left.group()), right.end(1)
-        local, host = BREAK.sub("", left.group()), re.sub(r"\s", "", BREAK.sub("-", right.group(1)))
+        start, end = at - len(left.group()), m.end() + len(text[m.end() : right.end(1)].rstrip("!'’|"))
+        local, host = BREAK.sub("", left.group()), re.sub(r"\s", "", BREAK.sub("-", text[right.start(1) : end]))
+        if not host:
+            continue
         last = host.rsplit(".", 1)[-1]
         sign = m.group()
         wide = at < m.start() or text[m.end() : m.end() + 1].isspace()

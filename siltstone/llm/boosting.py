@@ -83,7 +83,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 4, rate: fl
 
 
 def calibrate(model: Trees, x: np.ndarray, y: np.ndarray) -> None:
-    """Fit the sigmoid of the probabilities on held-out rows, and the threshold of best F1."""
+    """Fit the sigmoid of the probabilities on held-out rows, and the threshold of best F1, of equals the one nearest a half."""
     z, t = model.raw(x), np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
@@ -101,19 +101,19 @@ def calibrate(model: Trees, x: np.ndarray, y: np.ndarray) -> None:
     marks = np.linspace(0.1, 0.9, 33)
     f1 = [2 * (y * (p >= m)).sum() / max(1, (p >= m).sum() + y.sum()) for m in marks]
     best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
-    model.threshold = float(marks[best[len(best) // 2]])
+    model.threshold = float(marks[best[np.abs(marks[best] - 0.5).argmin()]])
 
 
-def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, also: np.ndarray, **how: float) -> Trees | None:
+def fit(x: np.ndarray, y: np.ndarray, fold: np.ndarray, more_x: np.ndarray, more_y: np.ndarray, more_fold: np.ndarray, **how: float) -> Trees | None:
     """Trees fit on all rows but those with ``fold`` 0, which calibrate them.
 
-    ``also``: the same rows with some features hidden, learnt as well. None if
-    either part lacks one of the two labels.
+    ``more``: further rows to learn from but not to calibrate by, such as copies
+    with some features hidden. None if either part lacks one of the two labels.
     """
-    x, also, y = x.astype(np.float32), also.astype(np.float32), y.astype(np.float64)
-    held = fold == 0
+    x, more_x, y = x.astype(np.float32), more_x.astype(np.float32), y.astype(np.float64)
+    held, more = fold == 0, more_fold != 0
     if min(y[~held].sum(), (1 - y[~held]).sum(), y[held].sum(), (1 - y[held]).sum()) < 1:
         return None
-    model = grow(np.concatenate([x[~held], also[~held]]), np.concatenate([y[~held], y[~held]]), **how)
+    model = grow(np.concatenate([x[~held], more_x[more]]), np.concatenate([y[~held], more_y[more]]), **how)
     calibrate(model, x[held], y[held])
     return model

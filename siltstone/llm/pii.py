@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import boosting
-from siltstone.llm.pii_candidates import KINDS, NAME_BEST, Candidate, Register, candidates
+from siltstone.llm.pii_candidates import FAINT, KINDS, NAME_BEST, NAME_TITLE, Candidate, Register, candidates
 
 #: Documents whose candidates the trees are fitted on, and the most labelled rows taken from them.
 SAMPLE_DOCS = 3000
@@ -59,12 +59,12 @@ def _plain(kind: str, form: np.ndarray) -> np.ndarray:
     return form
 
 
-def _weights(hints: list[str], y: np.ndarray) -> dict[str, tuple[float, float]]:
+def _counts(hints: list[str], y: np.ndarray) -> dict[str, np.ndarray]:
     """How often each string comes with a 1 and a 0."""
-    seen: dict[str, list[float]] = {}
+    seen: dict[str, np.ndarray] = {}
     for h, v in zip(hints, y.tolist()):
-        seen.setdefault(h, [0.0, 0.0])[0 if v else 1] += 1
-    return {h: (a, b) for h, (a, b) in seen.items()}
+        seen.setdefault(h, np.zeros(2))[0 if v else 1] += 1
+    return seen
 
 
 def _odds(a: float, b: float, prior: float) -> float:
@@ -74,7 +74,9 @@ def _odds(a: float, b: float, prior: float) -> float:
 def fit_kind(kind: str, form: np.ndarray, hints: list[list[str]], y: np.ndarray, fold: np.ndarray) -> KindModel:
     """Weights of the hint strings, then trees on form and weights.
 
-    A row's own label is left out of the weights it is trained with.
+    A row is trained with weights counted on the other folds. (Leaving out just
+    the row itself would give its label away: its weight would differ from that
+    of an equal row with the other label.)
     """
     if not len(y):
         return KindModel(kind, [], None)
@@ -83,10 +85,13 @@ def fit_kind(kind: str, form: np.ndarray, hints: list[list[str]], y: np.ndarray,
     prior = float(np.clip(y.mean(), 0.05, 0.95))
     base = _odds(0, 0, prior)
     weights, columns = [], []
+    nothing = np.zeros(2)
     for column in zip(*hints):
-        counts = _weights(list(column), y)
-        columns.append([_odds(counts[h][0] - v, counts[h][1] - (1 - v), prior) - base for h, v in zip(column, y.tolist())])
-        weights.append({h: _odds(a, b, prior) - base for h, (a, b) in counts.items() if a + b > 1})
+        column = np.array(column, object)
+        counts = _counts(list(column), y)
+        own = {f: _counts(list(column[fold == f]), y[fold == f]) for f in np.unique(fold)}
+        columns.append([_odds(*(counts[h] - own[f].get(h, nothing)), prior) - base for h, f in zip(column, fold)])
+        weights.append({h: _odds(*n, prior) - base for h, n in counts.items() if n.sum() > 1})
     x = np.concatenate([_plain(kind, form), np.array(columns, np.float32).T], axis=1)
     hidden = x.copy()
     forms, slots = MASKED[kind]
@@ -94,7 +99,11 @@ def fit_kind(kind: str, form: np.ndarray, hints: list[list[str]], y: np.ndarray,
     if kind == "name":
         for to, source in NAME_BEST.items():
             hidden[:, to] = form[:, source]
-    return KindModel(kind, weights, boosting.fit(x, y, fold, hidden, trees=60, depth=4))
+        sure = (y > 0) & ((form[:, NAME_TITLE] > 0) | (form[:, 0] >= 5))  # a title or given name vouches for the rest
+        faint = x[sure]
+        faint[:, 1] = FAINT
+        return KindModel(kind, weights, boosting.fit(x, y, fold, np.concatenate([hidden, faint]), np.concatenate([y, y[sure]]), np.concatenate([fold, fold[sure]]), trees=60))
+    return KindModel(kind, weights, boosting.fit(x, y, fold, hidden, y, fold, trees=60))
 
 
 def _known_streets(streets: list[str], y: np.ndarray) -> np.ndarray:

@@ -13,7 +13,7 @@ from functools import lru_cache
 LOOKALIKE = str.maketrans({"0": "o", "c": "e", "o": "o", "1": "l", "i": "l", "|": "l", "!": "l", "j": "l", "h": "b", "t": "f", "ſ": "s", "5": "s", "q": "g", "9": "g", "8": "b", "u": "n", "v": "y", "’": "'"})
 
 # Forms of address of a person, in the languages of the corpus.
-TITLES = "mr mrs miss ms dr rev capt sir m mm mme mlle herr herrn frau frl fräulein sr sra srta don doña señor señora prof hon col lady".split()
+TITLES = "mr mrs miss ms dr rev capt captain sir m mm mme mlle monsieur madame mademoiselle herr herrn frau frl fräulein sr sra srta don doña señor señora prof hon col lady".split()
 
 # Words for a street, before or after its name.
 STREET_LAST = "road rd street st lane ln row walk avenue ave av terrace ter crescent cres square sq place pl hill close court ct gardens gdns way drive dr parade yard quay alley mews grove".split()
@@ -102,6 +102,7 @@ class Register:
 
 DIGITS = re.compile(r"\d+")
 LINE_END = re.compile(r"[\r\n\v\f\x85\u2028\u2029]")
+LINE_ENDS = tuple("\r\n\v\f\x85\u2028\u2029")
 LINE_START = re.compile(r"(?:^|[\r\n\v\f\x85\u2028\u2029])[\s*]*$")
 LINE_STOP = re.compile(r"[ \t\xa0]*(?:[\r\n\v\f\x85\u2028\u2029]|$)")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -131,7 +132,8 @@ HOST = re.compile(r"\s{0,3}((?:[\w|�\xad'’!]|-(?:[ \t]*[\r\n]+\s{0,2})?(?=\w
 
 def emails(text: str) -> Iterator[Candidate]:
     for m in SIGN.finditer(text):
-        at = m.start() - (text[m.start() - 1 : m.start()] in (" ", "\t"))
+        near = text[max(0, m.start() - 3) : m.start()]
+        at = m.start() - (len(near) - len(near.rstrip()))
         left = LOCAL.search(text[max(0, at - 64) : at])
         right = HOST.match(text, m.end())
         if not left or not right:
@@ -298,7 +300,7 @@ def one_away(a: str, b: str) -> bool:
 def addresses(text: str) -> Iterator[Candidate]:
     for m in ENGLISH.finditer(text):
         caps = list(CAPITAL.finditer(m.group()))
-        caps = [c for c in caps if c.start() > 1]
+        caps = [c for c in caps if c.end() - c.start() > 1]
         if not caps or caps[0].group().lower().rstrip(".") in MONTHS:
             continue
         for k, w in enumerate(caps[1:] if len(caps) > 1 else caps, 1):
@@ -321,8 +323,8 @@ def addresses(text: str) -> Iterator[Candidate]:
         if like:
             yield _address(text, m.start(), m.end(), "spanish", like, 1)
     for m in GERMAN.finditer(text) if GERMAN_HINT.search(text) else ():
-        caps = list(CAPITAL.finditer(m.group()))
-        like = _street_joined(caps[-1].group())
+        caps = [c for c in CAPITAL.finditer(m.group()) if c.end() - c.start() > 1]  # not the letter of a house number
+        like = _street_joined(caps[-1].group()) if caps else 0.0
         if like:
             own = fold(BREAK.sub("", caps[-1].group()).rstrip(".")) in FOLDED_JOINED
             start = m.start() if own else m.start() + caps[-1].start()
@@ -354,6 +356,7 @@ def _address(text: str, start: int, end: int, form_of: str, like: float, words:
 TOKEN = re.compile(r"[A-ZÀ-ÖØ-Þ�](?:[\w|�\xad!'’]|-(?=[^\W\d_])|-[ \t\xa0]*[\r\n\v\f\x85\u2028\u2029]+[ \t\xa0]*(?=[^\W\d_]))*(?P<dot>\.?)")
 PARTICLES = ("van ", "Van ", "VAN ")
 TITLE_SET = set(TITLES)
+CROSSED = re.compile(rf"(?:^|[^\w])({'|'.join(t.capitalize() for t in TITLES if len(t) > 1)})\.?[ \t\xa0]*(?:\r\n|[\r\n\v\f\x85\u2028\u2029]){{1,2}}[^\r\n\v\f\x85\u2028\u2029]+(?:\r\n|[\r\n\v\f\x85\u2028\u2029]){{1,2}}[ \t\xa0]*$")
 INSIDE = re.compile(r"[ \t\xa0]*(?:[\r\n\v\f\x85  ]{1,4}[ \t\xa0]*)?")
 
 
@@ -406,7 +409,7 @@ def names(text: str, register: Register) -> Iterator[Candidate]:
     like_of = [_likeness(register, t[4]) if t[3] == "W" else None for t in tokens]
 
     # what may stand beside a family name: a title, an initial or a likely given name
-    beside = [t[3] in ("I", "T", "TI") or like is not None and max(like[0]) >= 0.4 for t, like in zip(tokens, like_of)] + [False]
+    beside = [t[3] in ("I", "T", "TI") or like is not None and max(like[0]) >= LIKELY_GIVEN for t, like in zip(tokens, like_of)] + [False]
 
     def adjoins(i: int, j: int, comma: bool = False) -> bool:
         a, b = tokens[i], tokens[j]
@@ -419,7 +422,7 @@ def names(text: str, register: Register) -> Iterator[Candidate]:
         return bool(INSIDE.fullmatch(between)) and len(between) < 12
 
     for k in range(n):
-        if tokens[k][3] != "W" or not (beside[k - 1] or beside[k + 1]):
+        if tokens[k][3] != "W" or not (beside[k - 1] or beside[k + 1] or max(like_of[k][1]) > 2.5 and text[tokens[k][0] - 1 : tokens[k][0]] in LINE_ENDS):
             continue
         given_k, family_k = like_of[k]
         best = max(family_k)
@@ -433,7 +436,7 @@ def names(text: str, register: Register) -> Iterator[Candidate]:
                     n_initial += 1
                 elif kind == "W":
                     like = like_of[i - 1][0]
-                    if max(like) < 0.4 or n_given:
+                    if max(like) < LIKELY_GIVEN or n_given:
                         break
                     given, n_given = like, n_given + 1
                 else:
@@ -445,6 +448,9 @@ def names(text: str, register: Register) -> Iterator[Candidate]:
                 if title or n_given or n_initial:
                     more = float(i > spans[-1][0])
                     yield _name(text, tokens[i][0], tokens[k][1], tokens[i - 1][4] if title else "", n_given, n_initial, given, family_k, 0, tokens[k][4], more)
+            # a title at the end of the line before last: columns were read across each other
+            if k and not (tokens[k - 1][3] and adjoins(k - 1, k)) and (m := CROSSED.search(text[max(0, tokens[k][0] - 160) : tokens[k][0]])):
+                yield _name(text, tokens[k][0], tokens[k][1], m.group(1), 0, 0, (0.0, 0.0, 0.0), family_k, 0, tokens[k][4])
             # words after, with or without a comma
             for comma in (True, False):
                 j, n_given, n_initial, given = k, 0, 0, (0.0, 0.0, 0.0)
@@ -455,7 +461,7 @@ def names(text: str, register: Register) -> Iterator[Candidate]:
                         end = tokens[j + 1][2]
                     elif kind == "W" and not n_given:
                         like = like_of[j + 1][0]
-                        if max(like) < 0.4:
+                        if max(like) < LIKELY_GIVEN:
                             break
                         given, n_given = like, 1
                         end = tokens[j + 1][1]
@@ -469,20 +475,27 @@ def names(text: str, register: Register) -> Iterator[Candidate]:
 def _name(text: str, start: int, end: int, title: str, n_given: int, n_initial: int, given: tuple, family: tuple, order: int, word: str, more: float = 0.0) -> Candidate:
     span = text[start:end]
     p1, p2, n1, n2, first, final = around(text, start - (len(title) + 2 if title else 0), end)
+    crossed = title and not text[max(0, start - 16) : start].rstrip().rstrip(".").endswith(title)
+    if crossed:
+        p1, p2 = "^", "^"
     breaks = len(LINE_END.findall(span))
     hyphen = len(BREAK.findall(span))
     same_line = re.match(r"[ \t\xa0]*([^\s]*)", text[end : end + 24])
     follow = same_line.group(1) if same_line else ""
     street = max((_street_last(follow), _street_joined(follow))) if follow[:1].isupper() else 0.0
+    parts = [w for w in span.split() if len(w) > 2]
+    mixed = float(order == 0 and len(parts) > 1 and parts[0].isupper() != parts[-1].isupper())
     firm = float(n1 in FIRM and n1 != "and" or (n1 in ("and", "&") and n2 in ("co", "sons", "co.")) or p1 in ("messrs", "ship", "messrs."))
     upper = float(word.upper() == word)
     form = (
         max(5 * given[0], 3 * given[1], given[2]), max(5 * family[0], 3 * family[1], family[2]), given[2], family[2],
         float(n_given), float(n_initial), float(bool(title)), float(order == 1), float(order == 2), float(breaks - hyphen), float(hyphen),
         upper, float(span.upper() == span), street, firm, float(first), float(final), float("-" in span), float(span.startswith("van") or " van " in span),
-        float(follow[:1].isupper()), len(span), float(p1[:1] == "9"), more,
+        float(follow[:1].isupper()), len(span), float(p1[:1] == "9"), more, mixed,
     )
-    if more or firm or street:
+    if crossed:
+        label = -1
+    elif more or mixed or firm or street:
         label = 0
     elif family[0] and (given[0] or n_initial or title) and order != 1:
         label = 1
@@ -499,6 +512,10 @@ def _name(text: str, start: int, end: int, title: str, n_given: int, n_initial:
 
 #: The best likeness of each sort by register and composition, and where composition alone stands.
 NAME_BEST = {0: 2, 1: 3}
+#: Least likeness of a word that is tried as a given name.
+LIKELY_GIVEN = 0.6
+#: Where a title stands, and the likeness of a family name of which only the ending is known.
+NAME_TITLE, FAINT = 6, 0.6
 
 
 def candidates(text: str | None, register: Register) -> list[Candidate]:

@@ -20,10 +20,10 @@ def test_trees_learn_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(4000, 6)).astype(np.float32)
     y = ((x[:, 0] * x[:, 1] > 0) & (x[:, 2] > -0.5)).astype(float)
-    model = boosting.fit(x[:3000], y[:3000], np.arange(3000) % 5, x[:3000])
+    model = boosting.fit(x[:3000], y[:3000], np.arange(3000) % 5, x[:0], y[:0], np.zeros(0))
     assert ((model.probability(x[3000:]) > model.threshold) == y[3000:]).mean() > 0.93
     assert len(model.probability(x[:0])) == 0
-    assert boosting.fit(x[:50], np.ones(50), np.arange(50) % 5, x[:50]) is None
+    assert boosting.fit(x[:50], np.ones(50), np.arange(50) % 5, x[:0], y[:0], np.zeros(0)) is None
 
 
 def test_folding():

@@ -14,8 +14,8 @@ CAPACITY = 2048
 TIERS = (256, 512, 1024, 2048)
 #: Containers that one training step takes.
 STEP_CONTAINERS = 8
-#: Parts that the items of one length are cut into for ranking.
-RANK_BUCKETS = 1024
+#: Items of one length are ranked in parts: so many, or one for so many items if that is more.
+RANK_PARTS, ITEMS_A_PART = 1024, 100_000
 
 
 @dataclass
@@ -122,7 +122,8 @@ def pack(items: DataFrame, capacity: int = CAPACITY, tiers: tuple[int, ...] = TI
     and ``step_group`` are null.
     """
     spark = items.sparkSession
-    base = items.select("doc_id", "piece", "n_tokens", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANK_BUCKETS)).cast("int").alias("part"))
+    parts = max(RANK_PARTS, items.count() // ITEMS_A_PART)
+    base = items.select("doc_id", "piece", "n_tokens", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int").alias("part"))
     counts = base.filter("n_tokens > 0").groupBy("n_tokens", "part").agg(F.count("*").alias("n"))
     histogram = {r[0]: r[1] for r in counts.groupBy("n_tokens").agg(F.sum("n")).collect()}  # at most `capacity` rows
     rows = placements(plan(histogram, capacity, tiers))

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.model import DELETE, PUT
+from siltstone.operators import ordered
 
 
 def newest(log: DataFrame) -> DataFrame:
@@ -61,11 +62,19 @@ def multi_get(log: DataFrame, keys: DataFrame, seq: int | None = None) -> DataFr
 def history(log: DataFrame) -> DataFrame:
     """All versions with ``version``, 1 for the newest of a key.
 
-    The rank needs a key's versions in one task, sorted (and spilled) rather than
-    held; use :func:`newest` where only the first is asked for.
+    Versions are ranked inside sorted ranges; a key that fills several ranges
+    gets the number of its versions in the ranges before added, which concerns at
+    most one key a range boundary. So a key with very many versions is ranked by
+    many tasks.
     """
-    w = W.partitionBy("key").orderBy(F.desc("seq"), F.desc("op"))
-    return log.select("key", "seq", "op", "value", F.row_number().over(w).cast("long").alias("version"))
+    order = [F.asc("key"), F.desc("seq"), F.desc("op")]
+    placed = ordered.ordered_parts(log.select("key", "seq", "op", "value"), order)
+    sizes = placed.groupBy("key", "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    carried = sizes.withColumn("_before", before).filter("_before > 0").select("key", "_part", "_before")
+    inside = F.row_number().over(W.partitionBy("_part", "key").orderBy(F.desc("seq"), F.desc("op")))
+    ranked = placed.withColumn("_i", inside).join(F.broadcast(carried), ["key", "_part"], "left")
+    return ranked.select("key", "seq", "op", "value", (F.col("_i") + F.coalesce("_before", F.lit(0))).cast("long").alias("version"))
 
 
 def scan(log: DataFrame, low: bytes | None = None, high: bytes | None = None, seq: int | None = None) -> DataFrame:
@@ -93,22 +102,3 @@ def lookup_layer(layers: DataFrame, keys: DataFrame) -> DataFrame:
         layers.join(wanted, "key", "left_semi").groupBy("key").agg(F.max(F.struct("seq", "op", "layer")).alias("v")).select("key", "v.layer", "v.seq", "v.op")
     )
     return wanted.join(first, "key", "left").withColumn("layer", F.coalesce("layer", F.lit("none")))
-
-
-def ordered_rank(df: DataFrame, order: list[Column], name: str = "position", parts: int | None = None) -> DataFrame:
-    """A dense global position from 1 in the given order, without a single sorting task.
-
-    Rows are range-partitioned and sorted, counted per partition, and numbered
-    from the sums of the counts before; only one count a partition is gathered.
-    """
-    from siltstone.session import settle
-
-    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = settle(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ranked")
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_part", before.alias("_before"))
-    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    return placed.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_before") + inside).cast("long")).drop("_part", "_before")
-
-

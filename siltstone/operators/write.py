@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siltstone.model import CHANGELOG, DELETE, PUT
+from siltstone.operators import ordered
 
 
 class WriteBatch:
@@ -34,17 +34,14 @@ class WriteBatch:
 
 
 def number_batches(ops: DataFrame, base: int) -> DataFrame:
-    """Sequence numbers for many batches: ``seq`` follows ``(batch_id, pos)`` without gaps.
+    """Sequence numbers for many batches: ``seq`` follows ``(batch_id, pos)`` from ``base`` without gaps.
 
-    Only the sizes of the batches (one row a batch) are summed in order; inside a
-    batch rows are ranked by ``pos``. Rows without a batch or place are dropped.
+    The place in the global order is counted range by range, so neither one task
+    for all nor one for a large batch is needed. Rows without a batch or place
+    are dropped; ``(batch_id, pos)`` is unique.
     """
     ops = ops.filter("batch_id is not null and pos is not null")
-    sizes = ops.groupBy("batch_id").agg(F.count("*").alias("_n"))
-    first = F.coalesce(F.sum("_n").over(W.orderBy("batch_id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("batch_id", (first + base).alias("_first"))
-    inside = F.row_number().over(W.partitionBy("batch_id").orderBy("pos")) - 1
-    return ops.withColumn("_i", inside).join(starts, "batch_id").withColumn("seq", (F.col("_first") + F.col("_i")).cast("long")).drop("_i", "_first")
+    return ordered.position(ops, [F.asc("batch_id"), F.asc("pos")], "seq").withColumn("seq", F.col("seq") + (base - 1))
 
 
 def memory_use(log: DataFrame) -> DataFrame:

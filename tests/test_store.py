@@ -48,6 +48,18 @@ class TestReads:
         log = log_of(spark, [(b"a", 1, 1, b"x"), (b"a", 2, 1, b""), (b"a", 2, 1, b""), (b"b", 3, 0, None), (b"b", 1, 1, b"old")])
         assert [(bytes(r.key), r.seq, bytes(r.value)) for r in read.snapshot(log).collect()] == [(b"a", 2, b"")]
 
+    def test_history_of_a_hot_key(self, spark):
+        rows = [(b"hot", s, 1, b"") for s in range(300)] + [(bytes([k]), s, s % 2, b"") for k in range(5) for s in range(k + 1)]
+        got = {(bytes(r.key), r.seq): r.version for r in read.history(log_of(spark, rows)).collect()}
+        count = {k: sum(x[0] == k for x in rows) for k, *_ in rows}
+        assert got == {(k, s): count[k] - s for k, s, _, _ in rows}
+
+    def test_numbers_follow_batch_and_place(self, spark):
+        ops = spark.createDataFrame([(b, p, "x") for b in (7, 3, 5) for p in range(b * 20)] + [(None, 1, "x"), (1, None, "x")], "batch_id long, pos int, note string")
+        got = [(r.batch_id, r.pos, r.note) for r in write.number_batches(ops, 50).orderBy("seq").collect()]
+        assert got == [(b, p, "x") for b in (3, 5, 7) for p in range(b * 20)]
+        assert write.number_batches(ops, 50).agg(F.min("seq"), F.max("seq")).first() == (50, 349)
+
     def test_merge_of_runs(self, spark):
         parts = [log_of(spark, [(bytes([j]), j + 50 * n, 1, b"") for j in range(50)]) for n in range(3)]
         keys = [(bytes(r.key)[0], r.seq) for r in runs.merge(parts).collect()]

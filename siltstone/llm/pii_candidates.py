@@ -253,9 +253,15 @@ FRENCH = re.compile(rf"(?<![\w.,/£$€\-]){HOUSE}(?:,?{GAP})(?P<type>[^\W\d_]{{
 SPANISH = re.compile(rf"(?P<type>(?<!\w)[^\W\d_]{{5,10}}){GAP}(?:(?:de|del|DE|DEL){GAP}(?:(?:la|los|las|el|LA|LOS|LAS){GAP})?)?{CAP}(?:{GAP}{CAP}){{0,2}},?{GAP}\d[\dOolI]{{0,3}}(?:[ ]?[a-dA-D])?(?!\w)")
 GERMAN = re.compile(rf"(?<!\w){CAP}(?:{GAP}{CAP})?{GAP}\d[\dOolI]{{0,3}}(?:[ ]?[a-dA-D])?(?!\w)")
 
-SPANISH_HINT = re.compile(r"\s(?:el|la|del|las|los|con|en|un|una|EL|LA|DEL|LOS|LAS|El|La|En|Los)\s")
-#: A text without these holds no German street, whole or misread.
-GERMAN_HINT = re.compile(r"(?:tr\.|[wW][a-zA-Zéí]g|[aA]tz|[sS]se|[ßſ]|STR|LLEE|lee|fer|amm|teig|TEIG)\s+\d|ß| (?:der|die|das|und|DIE|DER|DAS|UND|Die|Der|Das)\s")
+# A text with none of these has no Spanish (German) street, whole or misread.
+SPANISH_HINTS = (" el ", " la ", " del ", " los ", " en ", "calle", "Calle", "CALLE", "avenida", "plaza", " EL ", " LA ")
+GERMAN_HINTS = ("ß", "Str.", "weg ", "weg\n", "platz", " der ", " die ", " und ", " DER ", " DIE ", "STRASSE")
+
+
+def _speaks(text: str, hints: tuple[str, ...]) -> bool:
+    return any(h in text for h in hints)
+
+
 CAPITAL = re.compile(CAP)
 FOLDED_LAST = {fold(w) for w in STREET_LAST}
 FOLDED_JOINED = [fold(w) for w in STREET_JOINED]
@@ -318,11 +324,11 @@ def addresses(text: str) -> Iterator[Candidate]:
             for k, w in enumerate(caps, 1):
                 end = m.end("type") + w.end()
                 yield _address(text, m.start(), end - text[end - 1 : end].count("."), "first", like, k)
-    for m in SPANISH.finditer(text) if SPANISH_HINT.search(text) else ():
+    for m in SPANISH.finditer(text) if _speaks(text, SPANISH_HINTS) else ():
         like = _street_first(m.group("type"))
         if like:
             yield _address(text, m.start(), m.end(), "spanish", like, 1)
-    for m in GERMAN.finditer(text) if GERMAN_HINT.search(text) else ():
+    for m in GERMAN.finditer(text) if _speaks(text, GERMAN_HINTS) else ():
         caps = [c for c in CAPITAL.finditer(m.group()) if c.end() - c.start() > 1]  # not the letter of a house number
         like = _street_joined(caps[-1].group()) if caps else 0.0
         if like:
@@ -357,6 +363,7 @@ TOKEN = re.compile(r"[A-ZÀ-ÖØ-Þ�](?:[\w|�\xad!'’]|-(?=[^\W\d_])|-[ \t\
 PARTICLES = ("van ", "Van ", "VAN ")
 TITLE_SET = set(TITLES)
 CROSSED = re.compile(rf"(?:^|[^\w])({'|'.join(t.capitalize() for t in TITLES if len(t) > 1)})\.?[ \t\xa0]*(?:\r\n|[\r\n\v\f\x85\u2028\u2029]){{1,2}}[^\r\n\v\f\x85\u2028\u2029]+(?:\r\n|[\r\n\v\f\x85\u2028\u2029]){{1,2}}[ \t\xa0]*$")
+TITLE_ENDS_LINE = re.compile(rf"({'|'.join(t.capitalize() for t in TITLES if len(t) > 1)})\.?[ \t\xa0]*[\r\n\v\f\x85\u2028\u2029]")
 INSIDE = re.compile(r"[ \t\xa0]*(?:[\r\n\v\f\x85  ]{1,4}[ \t\xa0]*)?")
 
 
@@ -421,8 +428,9 @@ def names(text: str, register: Register) -> Iterator[Candidate]:
             between = between[1:]
         return bool(INSIDE.fullmatch(between)) and len(between) < 12
 
+    crossing = bool(TITLE_ENDS_LINE.search(text))
     for k in range(n):
-        if tokens[k][3] != "W" or not (beside[k - 1] or beside[k + 1] or max(like_of[k][1]) > 2.5 and text[tokens[k][0] - 1 : tokens[k][0]] in LINE_ENDS):
+        if tokens[k][3] != "W" or not (beside[k - 1] or beside[k + 1] or crossing and max(like_of[k][1]) > 2.5 and text[tokens[k][0] - 1 : tokens[k][0]] in LINE_ENDS):
             continue
         given_k, family_k = like_of[k]
         best = max(family_k)
@@ -449,7 +457,7 @@ def names(text: str, register: Register) -> Iterator[Candidate]:
                     more = float(i > spans[-1][0])
                     yield _name(text, tokens[i][0], tokens[k][1], tokens[i - 1][4] if title else "", n_given, n_initial, given, family_k, 0, tokens[k][4], more)
             # a title at the end of the line before last: columns were read across each other
-            if k and not (tokens[k - 1][3] and adjoins(k - 1, k)) and (m := CROSSED.search(text[max(0, tokens[k][0] - 160) : tokens[k][0]])):
+            if crossing and k and not (tokens[k - 1][3] and adjoins(k - 1, k)) and (m := CROSSED.search(text[max(0, tokens[k][0] - 160) : tokens[k][0]])):
                 yield _name(text, tokens[k][0], tokens[k][1], m.group(1), 0, 0, (0.0, 0.0, 0.0), family_k, 0, tokens[k][4])
             # words after, with or without a comma
             for comma in (True, False):

@@ -158,9 +158,9 @@ def train(df: DataFrame, register: Register, id_col: str = "doc_id", text_col: s
 
 
 def select(found: list[tuple[float, Candidate]]) -> list[Candidate]:
-    """The accepted spans of a text, none overlapping: best first, of equals the longer."""
+    """The accepted spans of a text, none overlapping: best first, of about equals (quarters) the longer."""
     kept: list[Candidate] = []
-    for _, c in sorted(found, key=lambda x: (-round(x[0], 2), x[1].start - x[1].end, x[1].start, x[1].kind)):
+    for _, c in sorted(found, key=lambda x: (-round(4 * x[0]), x[1].start - x[1].end, x[1].start, x[1].kind)):
         if all(c.end <= k.start or c.start >= k.end for k in kept):
             kept.append(c)
     return sorted(kept, key=lambda c: c.start)

@@ -105,6 +105,7 @@ LINE_END = re.compile(r"[\r\n\v\f\x85\u2028\u2029]")
 LINE_ENDS = tuple("\r\n\v\f\x85\u2028\u2029")
 LINE_START = re.compile(r"(?:^|[\r\n\v\f\x85\u2028\u2029])[\s*]*$")
 LINE_STOP = re.compile(r"[ \t\xa0]*(?:[\r\n\v\f\x85\u2028\u2029]|$)")
+LAST_DIGIT = re.compile(r"\d")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -167,18 +168,18 @@ BLANKS = re.compile(r"\s+")
 TAIL = re.compile(r"[-\s]{0,3}[A-Z](?![\w'’])")
 LEAD_PHONE = set("tel tél ruf ring telephone teléfono téléphone telefon phone office call appeler llamar auskunft melden".split())
 LEAD_ID = set("titular cédula versicherte nummer dokument card carte passport pasaporte pass passeport member insurance ausweis mitglied assuré asegurado versicherung carné numbered".split())
-LEAD_NOT = set("patent lot box ref réf numbers loterie open page votes catalogue numéro brevet los patente circulation tirage auflage lote".split())
+LEAD_NOT = set("patent lot box ref réf numbers loterie open votes catalogue numéro brevet los patente circulation tirage auflage lote".split())
 
 
 #: Where a number may end although digits follow: a line end, a wide gap, a sentence's end.
-LOOSE = re.compile(r"[\r\n\v\f\x85\u2028\u2029\t]|\s{2}|[.)]\s")
+LOOSE = re.compile(r"[\r\n\v\f\x85\u2028\u2029\t]|\s{2}|\.\s")
 
 
 def numbers(text: str) -> Iterator[Candidate]:
     for m in NUMBERS.finditer(text):
         run, base = m.group(), m.start()
         groups = [g.span() for g in GROUP.finditer(run)]
-        if sum(b - a for a, b in groups) < 6 or len(groups) > 40:
+        if sum(b - a for a, b in groups) < 6:
             continue
         prefix = PREFIX.match(run)
         between = [run[x[1] : y[0]] for x, y in zip(groups, groups[1:])]
@@ -194,7 +195,7 @@ def numbers(text: str) -> Iterator[Candidate]:
                 if digits < 6 or not loose[j + 1]:
                     continue
                 a, b = groups[i][0], groups[j][1]
-                while a and run[a - 1] in "+(" and (i == 0 or run[a - 1] == "(" and not run[: a - 1].strip() or run[a - 1] == "+"):
+                while a and run[a - 1] in "+(":
                     a -= 1
                 yield from _number(text, run, base, a, b, groups[i : j + 1], "", "")
                 letters = prefix.group() if prefix and i == 0 else ""
@@ -217,11 +218,12 @@ def _number(text: str, run: str, base: int, a: int, b: int, groups: list[tuple[i
     start, end = base + a, base + b
     p1, p2, n1, n2, first, final = around(text, start, end)
     shape = ("+" if "+" in span[:2] else "") + ("(" if "(" in span[:3] else "") + ("AA" if letters else "") + "".join(f"{y - x}{s}" for (x, y), s in zip(groups, [*seps, ""])) + ("A" if tail else "")
-    lead = text[max(0, start - 40) : start].lower()
-    words = LETTERS.findall(lead)[-3:]
+    # the words before the run, back to the last number
+    lead = text[max(0, base - 40) : base + a if a < 3 else base].lower()
+    words = LETTERS.findall(LAST_DIGIT.split(BREAK.sub("", lead) if "-" in lead else lead)[-1])[-3:]
     line_breaks = len(LINE_END.findall(span))
-    more_left = float(not letters and any(x.isalnum() for x in LOOSE.split(run[:a])[-1]))
-    more_right = float(not tail and any(x.isalnum() for x in LOOSE.split(run[b:])[0]))
+    more_left = float(not letters and any(x.isalnum() for x in LOOSE.split(run[max(0, a - 24) : a])[-1]))
+    more_right = float(not tail and any(x.isalnum() for x in LOOSE.split(run[b : b + 24])[0]))
     lead = next((k for w in reversed(words) for k, s in enumerate((LEAD_PHONE, LEAD_ID, LEAD_NOT)) if w in s), 2 if "nr" in words else -1)
     lead_phone, lead_id, lead_not = float(lead == 0), float(lead == 1), float(lead == 2)
     hint = (shape, p1, p2, n1, shape[:2] + "|" + re.sub(r"\D", "", span)[:1])
@@ -270,7 +272,10 @@ FOLDED_FIRST = {fold(w) for w in STREET_FIRST}
 
 @lru_cache(maxsize=100_000)
 def _street_last(word: str) -> float:
-    w = fold(BREAK.sub("", word).rstrip("."))
+    raw = BREAK.sub("", word).rstrip(".").lower()
+    if len(raw) < 4:  # too short to be recognized when misread
+        return float(raw in STREET_LAST)
+    w = fold(raw)
     if w in FOLDED_LAST:
         return 1.0
     return 0.6 if len(w) > 3 and any(abs(len(t) - len(w)) < 2 and len(t) > 3 and one_away(w, t) for t in FOLDED_LAST) else 0.0
@@ -397,7 +402,7 @@ def names(text: str, register: Register) -> Iterator[Candidate]:
     tokens = []
     for m in TOKEN.finditer(text):
         start, end = m.start(), m.start("dot")
-        if start and text[start - 1].isalnum() or text[start:end] in ("VAN", "Van"):
+        if start and (text[start - 1].isalnum() or text[start - 1] == "-" and end - start == 1) or text[start:end] in ("VAN", "Van"):
             continue
         if text[start - 4 : start] in PARTICLES:
             start -= 4

@@ -1,5 +1,6 @@
 """Fixed cases of the store, its rules, and random histories against a dictionary."""
 
+import os
 import random
 
 import pytest
@@ -147,6 +148,15 @@ class TestValueLog:
         assert back == {k: v for k, _, _, v in rows}
 
 
+class TestScratch:
+    def test_clean_removes_what_was_settled(self, spark):
+        from siltstone import session
+
+        df = session.settle(spark.range(3), "t")
+        path = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+        assert os.path.isdir(path) and session.clean(spark) >= 1 and not os.path.isdir(path)
+
+
 class TestStore:
     def test_batch_order(self, spark, tmp_path):
         s = open_store(spark, tmp_path)
@@ -214,6 +224,40 @@ class TestStore:
         keys = [bytes(r.key) for r in s.scan(b"\2", b"\7").collect()]
         assert keys == sorted(k for k in want if b"\2" <= k < b"\7")
 
+    def test_two_hundred_histories_side_by_side(self, spark, tmp_path):
+        """Each history has its own keys; all share the points of flush, compaction and reopening."""
+        rng = random.Random(11)
+        s, want = open_store(spark, tmp_path, kv_separate_threshold=8), {}
+        for step in ["flush", "", "flush", "compact", "flush", "full", ""]:
+            ops = []
+            for h in range(200):
+                for pos in range(rng.randrange(1, 6)):
+                    key = be32(h) + bytes([rng.randrange(4)])
+                    if rng.random() < 0.3:
+                        ops.append((h, pos, bytearray(key), 0, None))
+                        want.pop(key, None)
+                    else:
+                        value = rng.randbytes(rng.choice([0, 3, 40]))
+                        ops.append((h, pos, bytearray(key), 1, bytearray(value)))
+                        want[key] = value
+            rng.shuffle(ops)
+            s.write(spark.createDataFrame(ops, "batch_id long, pos int, key binary, op int, value binary"))
+            if step == "flush":
+                s.flush()
+            elif step:
+                s.flush()
+                s.compact(full=step == "full")
+            s = open_store(spark, tmp_path, kv_separate_threshold=8)
+            assert {bytes(r.key): bytes(r.value) for r in s.snapshot().collect()} == want
+
+    def test_large_batches_flush_by_themselves(self, spark, tmp_path):
+        s = open_store(spark, tmp_path, mem_size=1000)
+        s.put(b"a", b"x" * 600)
+        assert len(s.state["logs"]) == 1 and not s.state["runs"]
+        s.put(b"b", b"y" * 600)
+        assert not s.state["logs"] and s.state["runs"][0]["entries"] == 2
+        assert s.get(b"a") == b"x" * 600
+
     def test_policy_compaction_and_purge(self, spark, tmp_path):
         s = open_store(spark, tmp_path)
         for i in range(4):

@@ -17,6 +17,7 @@ TITLES = "mr mrs miss ms dr rev capt captain sir m mm mme mlle monsieur madame m
 
 # Words for a street, before or after its name.
 STREET_LAST = "road rd street st lane ln row walk avenue ave av terrace ter crescent cres square sq place pl hill close court ct gardens gdns way drive dr parade yard quay alley mews grove".split()
+ABBREVIATED = "rd st ln ave av ter cres sq pl ct gdns dr".split()
 STREET_JOINED = "straße strasse str weg platz gasse allee ufer damm markt ring steig".split()
 STREET_FIRST = "rue avenue av boulevard bd place quai chemin impasse allée cours route ruelle square calle avenida avda av plaza paseo camino ronda travesía callejón carretera".split()
 
@@ -247,13 +248,13 @@ MONTHS = set("january february march april may june july august september octobe
 
 # --- addresses -------------------------------------------------------------
 
-HOUSE = r"\d[\dOolI]{0,3}(?:[ ]?(?:bis|ter|[a-dA-D]))?"
+HOUSE = r"\d[\dOolI]{0,3}(?:[a-dA-D]|\s?(?:bis|ter))?"
 CAP = r"[A-ZÀ-ÖØ-Þ](?:[\w|�\xad!'’]|-(?:[ \t]*[\r\n]+\s{0,2})?(?=\w))*\.?"
 GAP = r"(?:[ \t\xa0]+|[ \t\xa0]*[\r\n\v\f\x85  ]{1,4}[ \t\xa0]*)"
 ENGLISH = re.compile(rf"(?<![\w.,/£$€\-]){HOUSE}(?:,?{GAP}){CAP}(?:{GAP}{CAP}){{1,3}}")
 FRENCH = re.compile(rf"(?<![\w.,/£$€\-]){HOUSE}(?:,?{GAP})(?P<type>[^\W\d_]{{2,10}}\.?){GAP}(?:(?:de|du|des|DE|DU|DES|d['’]|l['’]|D['’])(?:{GAP})?(?:(?:la|le|les|LA|l['’]){GAP}?)?)?{CAP}(?:{GAP}{CAP}){{0,2}}")
-SPANISH = re.compile(rf"(?P<type>(?<!\w)[^\W\d_]{{5,10}}){GAP}(?:(?:de|del|DE|DEL){GAP}(?:(?:la|los|las|el|LA|LOS|LAS){GAP})?)?{CAP}(?:{GAP}{CAP}){{0,2}},?{GAP}\d[\dOolI]{{0,3}}(?:[ ]?[a-dA-D])?(?!\w)")
-GERMAN = re.compile(rf"(?<!\w){CAP}(?:{GAP}{CAP})?{GAP}\d[\dOolI]{{0,3}}(?:[ ]?[a-dA-D])?(?!\w)")
+SPANISH = re.compile(rf"(?P<type>(?<!\w)[^\W\d_]{{5,10}}){GAP}(?:(?:de|del|DE|DEL){GAP}(?:(?:la|los|las|el|LA|LOS|LAS){GAP})?)?{CAP}(?:{GAP}{CAP}){{0,2}},?{GAP}{HOUSE}(?!\w)")
+GERMAN = re.compile(rf"(?<!\w){CAP}(?:{GAP}{CAP})?{GAP}{HOUSE}(?!\w)")
 
 # A text with none of these has no Spanish (German) street, whole or misread.
 SPANISH_HINTS = (" el ", " la ", " del ", " los ", " en ", "calle", "Calle", "CALLE", "avenida", "plaza", " EL ", " LA ")
@@ -314,11 +315,13 @@ def addresses(text: str) -> Iterator[Candidate]:
         caps = [c for c in caps if c.end() - c.start() > 1]
         if not caps or caps[0].group().lower().rstrip(".") in MONTHS:
             continue
+        best = 0.0
         for k, w in enumerate(caps[1:] if len(caps) > 1 else caps, 1):
             like = _street_last(w.group())
-            if like:
+            if like and like >= best:
+                best = like
                 end = m.start() + w.end()
-                if w.group().endswith(".") and len(w.group()) > 5:
+                if w.group().endswith(".") and w.group()[:-1].lower() not in ABBREVIATED:
                     end -= 1
                 yield _address(text, m.start(), end, "last", like, k)
     for m in FRENCH.finditer(text):

@@ -30,7 +30,7 @@ def references(df: DataFrame, kind: str, target: str, src_id: str, refs: str, at
 
 def parents(df: DataFrame, target: str, key: str, created: str, deleted: str | None = None) -> DataFrame:
     """One row a target key: repeated rows are merged, the earliest times count."""
-    gone = F.min(deleted) if deleted else F.lit(None).cast("timestamp_ntz")
+    gone = F.min(deleted) if deleted else F.lit(None).cast(df.schema[created].dataType)
     return (
         df.filter(F.col(key).isNotNull())
         .groupBy(F.col(key).cast("long").alias("ref_id"))

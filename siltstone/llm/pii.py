@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -159,11 +160,12 @@ def train(df: DataFrame, register: Register, id_col: str = "doc_id", text_col: s
 
 def select(found: list[tuple[float, Candidate]]) -> list[Candidate]:
     """The accepted spans of a text, none overlapping: best first, of about equals (quarters) the longer."""
-    kept: list[Candidate] = []
+    kept: list[Candidate] = []  # by place, so a span has to be compared with its two neighbours only
     for _, c in sorted(found, key=lambda x: (-round(4 * x[0]), x[1].start - x[1].end, x[1].start, x[1].kind)):
-        if all(c.end <= k.start or c.start >= k.end for k in kept):
-            kept.append(c)
-    return sorted(kept, key=lambda c: c.start)
+        i = bisect_left(kept, c.start, key=lambda k: k.start)
+        if (i == 0 or kept[i - 1].end <= c.start) and (i == len(kept) or kept[i].start >= c.end):
+            kept.insert(i, c)
+    return kept
 
 
 def find(texts: list[str | None], models: dict[str, KindModel], register: Register) -> list[list[Candidate]]:

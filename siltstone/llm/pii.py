@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm import boosting
-from siltstone.llm.pii_candidates import FAINT, KINDS, NAME_BEST, NAME_TITLE, Candidate, Register, candidates
+from siltstone.llm.pii_candidates import EXAMPLE, FAINT, KINDS, NAME_BEST, NAME_FAINT, NAME_GIVEN, NAME_N_GIVEN, NAME_TITLE, Candidate, Register, candidates
 
 #: Documents whose candidates the trees are fitted on, and the most labelled rows taken from them.
 SAMPLE_DOCS = 3000
@@ -79,20 +79,24 @@ def fit_kind(kind: str, form: np.ndarray, hints: list[list[str]], y: np.ndarray,
     the row itself would give its label away: its weight would differ from that
     of an equal row with the other label.)
     """
-    if not len(y):
+    shown = y == EXAMPLE
+    if shown.all():
         return KindModel(kind, [], None)
     if kind == "address":
         y = _known_streets([h[0] for h in hints], y)
-    prior = float(np.clip(y.mean(), 0.05, 0.95))
+    y = np.maximum(y, 0)
+    prior = float(np.clip(y[~shown].mean(), 0.05, 0.95))
     base = _odds(0, 0, prior)
     weights, columns = [], []
     nothing = np.zeros(2)
-    for column in zip(*hints):
+    for slot, column in enumerate(zip(*hints)):
         column = np.array(column, object)
-        counts = _counts(list(column), y)
-        own = {f: _counts(list(column[fold == f]), y[fold == f]) for f in np.unique(fold)}
-        columns.append([_odds(*(counts[h] - own[f].get(h, nothing)), prior) - base for h, f in zip(column, fold)])
+        use = ~shown | (slot == NAME_FAINT)
+        counts = _counts(list(column[use]), y[use])
+        own = {f: _counts(list(column[use & (fold == f)]), y[use & (fold == f)]) for f in np.unique(fold)}
+        columns.append([_odds(*(counts[h] - own[f].get(h, nothing)), prior) - base for h, f in zip(column[~shown], fold[~shown])])
         weights.append({h: _odds(*n, prior) - base for h, n in counts.items() if n.sum() > 1})
+    form, y, fold = form[~shown], y[~shown], fold[~shown]
     x = np.concatenate([_plain(kind, form), np.array(columns, np.float32).T], axis=1)
     hidden = x.copy()
     forms, slots = MASKED[kind]
@@ -103,7 +107,11 @@ def fit_kind(kind: str, form: np.ndarray, hints: list[list[str]], y: np.ndarray,
         sure = (y > 0) & ((form[:, NAME_TITLE] > 0) | (form[:, 0] >= 5))  # a title or given name vouches for the rest
         faint = x[sure]
         faint[:, 1] = FAINT
-        return KindModel(kind, weights, boosting.fit(x, y, fold, np.concatenate([hidden, faint]), np.concatenate([y, y[sure]]), np.concatenate([fold, fold[sure]]), trees=60))
+        vouched = (y > 0) & (form[:, NAME_N_GIVEN] > 0) & (form[:, 1] >= 5)  # the family name vouches for a given name that the register lacks
+        unknown = x[vouched]
+        unknown[:, [NAME_GIVEN, form.shape[1] + NAME_FAINT]] = 0
+        more = (hidden, faint, unknown)
+        return KindModel(kind, weights, boosting.fit(x, y, fold, np.concatenate(more), np.concatenate([y, y[sure], y[vouched]]), np.concatenate([fold, fold[sure], fold[vouched]]), trees=60))
     return KindModel(kind, weights, boosting.fit(x, y, fold, hidden, y, fold, trees=60))
 
 
@@ -144,7 +152,7 @@ def train(df: DataFrame, register: Register, id_col: str = "doc_id", text_col: s
         for b in batches:
             out = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                out += [(c.kind, c.label, list(c.form), list(c.hints), doc_id or 0, c.start, c.end) for c in candidates(text, shared.value) if c.label >= 0]
+                out += [(c.kind, c.label, list(c.form), list(c.hints), doc_id or 0, c.start, c.end) for c in candidates(text, shared.value, examples=True) if c.label != -1]
             names = ("kind", "label", "form", "hints", "doc_id", "start", "stop")
             types = (pa.string(), pa.int32(), pa.list_(pa.float32()), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], list(names))

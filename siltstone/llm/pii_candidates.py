@@ -6,7 +6,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 # Signs that scanners confuse, each mapped to one of its class.
@@ -24,6 +24,8 @@ STREET_FIRST = "rue avenue av boulevard bd place quai chemin impasse allée cour
 # Words that make the capitals before them a firm, board or ship.
 FIRM = "co & sons brothers bros board company ltd limited and".split()
 
+EXAMPLE = -2
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 BREAK = re.compile(r"-[ \t\xa0]*[\r\n\v\f\x1c-\x1e\x85  ]\s*")
@@ -45,7 +47,7 @@ class Candidate:
     form: tuple[float, ...]
     #: strings whose weight is learnt: shape, and words around
     hints: tuple[str, ...]
-    #: 1 or 0 if form or surroundings settle it, -1 if not
+    #: 1 or 0 if form or surroundings settle it, -1 if not, EXAMPLE for a 0 that only the faint hint is learnt by
     label: int
 
 
@@ -376,11 +378,13 @@ INSIDE = re.compile(r"[ \t\xa0]*(?:[\r\n\v\f\x85  ]{1,4}[ \t\xa0]*)?")
 
 
 def _likeness(register: Register, raw: str):
+    """For given and family, and the best of each."""
     known = register.words.get(raw)
     if known is None:
         if len(register.words) > 400_000:
             register.words.clear()
-        known = register.words[raw] = _best_reading(register, raw)
+        given, family = _best_reading(register, raw)
+        known = register.words[raw] = (given, family, max(given), max(family))
     return known
 
 
@@ -401,8 +405,10 @@ def _best_reading(register: Register, raw: str) -> tuple[tuple[float, float, flo
     return best
 
 
-def names(text: str, register: Register) -> Iterator[Candidate]:
+def names(text: str, register: Register, examples: bool = False) -> Iterator[Candidate]:
+    """Names; with ``examples`` also pairs of words that are none, by which ordinary words are learnt."""
     tokens = []
+    lower: set[str] = set()  # words that stand in small letters somewhere in the text
     for m in TOKEN.finditer(text):
         start, end = m.start(), m.start("dot")
         if start and (text[start - 1].isalnum() or text[start - 1] == "-" and end - start == 1) or text[start:end] in ("VAN", "Van"):
@@ -423,72 +429,99 @@ def names(text: str, register: Register) -> Iterator[Candidate]:
     n = len(tokens)
     like_of = [_likeness(register, t[4]) if t[3] == "W" else None for t in tokens]
 
-    # what may stand beside a family name: a title, an initial or a likely given name
-    beside = [t[3] in ("I", "T", "TI") or like is not None and max(like[0]) >= LIKELY_GIVEN for t, like in zip(tokens, like_of)] + [False]
+    # beside a sure family name any word may stand, beside a faint one a title, an initial or a likely given name
+    beside = [t[3] in ("I", "T", "TI") or like is not None and like[2] >= LIKELY_GIVEN for t, like in zip(tokens, like_of)] + [False]
 
     def adjoins(i: int, j: int, comma: bool = False) -> bool:
         a, b = tokens[i], tokens[j]
         at = a[2] if a[3] != "W" else a[1]
         between = text[at : b[0]]
+        if between == " " and not comma:
+            return True
         if comma:
             if not between.startswith(","):
                 return False
             between = between[1:]
         return bool(INSIDE.fullmatch(between)) and len(between) < 12
 
+    def ordinary(i: int) -> bool:
+        """Whether a faint given name is a family name, or stands in small letters too; asked for the labels only."""
+        nonlocal lower
+        if not examples:
+            return False
+        lower = lower or set(LETTERS.findall(text)) or {""}
+        return like_of[i][1][0] > 0 or tokens[i][4].lower() in lower
+
+    # a word before a given name, or before what is no name at all, is not a given name itself (once a text)
+    shown: set[str] = set()
+    for k in range(1, n) if examples else ():
+        if tokens[k][3] == tokens[k - 1][3] == "W" and tokens[k - 1][4] not in shown and like_of[k - 1][2] < LIKELY_GIVEN and (like_of[k][0][0] or like_of[k][3] < 0.5) and adjoins(k - 1, k):
+            yield replace(_name(text, tokens[k - 1][0], tokens[k][1], "", 1, 0, like_of[k - 1][0], like_of[k][1], 0, tokens[k][4], 0.0, tokens[k - 1][4]), label=EXAMPLE)
+            shown.add(tokens[k - 1][4])
+
     crossing = bool(TITLE_ENDS_LINE.search(text))
     for k in range(n):
-        if tokens[k][3] != "W" or not (beside[k - 1] or beside[k + 1] or crossing and max(like_of[k][1]) > 2.5 and text[tokens[k][0] - 1 : tokens[k][0]] in LINE_ENDS):
+        if tokens[k][3] != "W" or like_of[k][3] <= 0.4:
             continue
-        given_k, family_k = like_of[k]
-        best = max(family_k)
-        if best >= 1 or best > 0.4 and k and tokens[k - 1][3]:
+        family_k, best = like_of[k][1], like_of[k][3]
+        likely = beside[k - 1] or beside[k + 1] or crossing and best > 2.5 and text[tokens[k][0] - 1 : tokens[k][0]] in LINE_ENDS
+        if best >= 1 or best > 0.4 and likely and k and tokens[k - 1][3]:
             # words before: initials and given names, then perhaps a title
             i, n_given, n_initial, given = k, 0, 0, (0.0, 0.0, 0.0)
-            spans = [(k, 0, 0, (0.0, 0.0, 0.0))]
+            spans = [(k, 0, 0, (0.0, 0.0, 0.0), "")]
+            first_likely = k
             while i and k - i < 4 and adjoins(i - 1, i):
-                kind = tokens[i - 1][3]
+                kind, faint = tokens[i - 1][3], ""
                 if kind in ("I", "TI"):
                     n_initial += 1
                 elif kind == "W":
                     like = like_of[i - 1][0]
-                    if max(like) < LIKELY_GIVEN or n_given:
+                    if n_given:
                         break
                     given, n_given = like, n_given + 1
+                    if like_of[i - 1][2] < LIKELY_GIVEN:
+                        if best < 1:
+                            break
+                        faint, common = tokens[i - 1][4], ordinary(i - 1)
                 else:
                     break
                 i -= 1
-                spans.append((i, n_given, n_initial, given))
-            for i, n_given, n_initial, given in spans:
+                spans.append((i, n_given, n_initial, given, faint))
+                if faint:  # the trees are to judge it; nothing is joined to it
+                    break
+                first_likely = i
+            for i, n_given, n_initial, given, faint in spans:
                 title = i > 0 and tokens[i - 1][3] in ("T", "TI") and adjoins(i - 1, i)
                 if title or n_given or n_initial:
-                    more = float(i > spans[-1][0])
-                    yield _name(text, tokens[i][0], tokens[k][1], tokens[i - 1][4] if title else "", n_given, n_initial, given, family_k, 0, tokens[k][4], more)
+                    more = float(i > first_likely)
+                    yield _name(text, tokens[i][0], tokens[k][1], tokens[i - 1][4] if title else "", n_given, n_initial, given, family_k, 0, tokens[k][4], more, faint, bool(faint) and common)
             # a title at the end of the line before last: columns were read across each other
-            if crossing and k and not (tokens[k - 1][3] and adjoins(k - 1, k)) and (m := CROSSED.search(text[max(0, tokens[k][0] - 160) : tokens[k][0]])):
+            if crossing and likely and k and not (tokens[k - 1][3] and adjoins(k - 1, k)) and (m := CROSSED.search(text[max(0, tokens[k][0] - 160) : tokens[k][0]])):
                 yield _name(text, tokens[k][0], tokens[k][1], m.group(1), 0, 0, (0.0, 0.0, 0.0), family_k, 0, tokens[k][4])
             # words after, with or without a comma
             for comma in (True, False):
-                j, n_given, n_initial, given = k, 0, 0, (0.0, 0.0, 0.0)
-                while j + 1 < n and j - k < 3 and adjoins(j, j + 1, comma and j == k):
+                j, n_given, n_initial, given, faint = k, 0, 0, (0.0, 0.0, 0.0), ""
+                while j + 1 < n and j - k < 3 and not faint and adjoins(j, j + 1, comma and j == k):
                     kind = tokens[j + 1][3]
                     if kind in ("I", "TI"):
                         n_initial += 1
                         end = tokens[j + 1][2]
                     elif kind == "W" and not n_given:
                         like = like_of[j + 1][0]
-                        if max(like) < LIKELY_GIVEN:
-                            break
+                        if like_of[j + 1][2] < LIKELY_GIVEN:
+                            if best < 1:
+                                break
+                            faint, common = tokens[j + 1][4], ordinary(j + 1)
                         given, n_given = like, 1
                         end = tokens[j + 1][1]
                     else:
                         break
                     j += 1
                     title = k > 0 and tokens[k - 1][3] == "T" and adjoins(k - 1, k)
-                    yield _name(text, tokens[k][0], end, tokens[k - 1][4] if title else "", n_given, n_initial, given, family_k, 1 + comma, tokens[k][4])
+                    yield _name(text, tokens[k][0], end, tokens[k - 1][4] if title else "", n_given, n_initial, given, family_k, 1 + comma, tokens[k][4], 0.0, faint, bool(faint) and common)
 
 
-def _name(text: str, start: int, end: int, title: str, n_given: int, n_initial: int, given: tuple, family: tuple, order: int, word: str, more: float = 0.0) -> Candidate:
+def _name(text: str, start: int, end: int, title: str, n_given: int, n_initial: int, given: tuple, family: tuple, order: int, word: str, more: float = 0.0, faint: str = "", ordinary: bool = False) -> Candidate:
     span = text[start:end]
     p1, p2, n1, n2, first, final = around(text, start - (len(title) + 2 if title else 0), end)
     crossed = title and not text[max(0, start - 16) : start].rstrip().rstrip(".").endswith(title)
@@ -513,7 +546,9 @@ def _name(text: str, start: int, end: int, title: str, n_given: int, n_initial:
         label = -1
     elif more or mixed or firm or street:
         label = 0
-    elif family[0] and (given[0] or n_initial or title) and order != 1:
+    elif faint and (ordinary or order and title):  # after a title the family name ends the name
+        label = 0
+    elif family[0] and (given[0] or n_initial and not faint or title) and order != 1:
         label = 1
     elif order == 2 and family[0] and given[0]:
         label = 1
@@ -523,19 +558,24 @@ def _name(text: str, start: int, end: int, title: str, n_given: int, n_initial:
         label = 0
     else:
         label = -1
-    return Candidate("name", start, end, form, (title.lower(), p1, n1, p2), label)
+    return Candidate("name", start, end, form, (title.lower(), p1, n1, p2, faint.lower()), label)
 
 
 #: The best likeness of each sort by register and composition, and where composition alone stands.
 NAME_BEST = {0: 2, 1: 3}
-#: Least likeness of a word that is tried as a given name.
+#: Likeness below which a word beside a family name is a faint given name: the word itself is learnt as a hint.
 LIKELY_GIVEN = 0.6
+#: Where the likeness of the given name stands, the number of given names, and the hint of a faint one.
+NAME_GIVEN, NAME_N_GIVEN, NAME_FAINT = 0, 4, 4
 #: Where a title stands, and the likeness of a family name of which only the ending is known.
 NAME_TITLE, FAINT = 6, 0.6
 
 
-def candidates(text: str | None, register: Register) -> list[Candidate]:
-    """All candidate spans of a text, overlapping ones included; none for a null or empty text."""
+def candidates(text: str | None, register: Register, examples: bool = False) -> list[Candidate]:
+    """All candidate spans of a text, overlapping ones included; none for a null or empty text.
+
+    ``examples``: further ones to learn from, which are labelled EXAMPLE.
+    """
     if not text:
         return []
-    return [*emails(text), *numbers(text), *addresses(text), *names(text, register)]
+    return [*emails(text), *numbers(text), *addresses(text), *names(text, register, examples)]

@@ -92,3 +92,15 @@ def test_select_keeps_the_best_without_overlap():
     got = pii.select([(0.5, c(0, 10)), (0.9, c(5, 8)), (0.9, c(5, 9)), (0.2, c(9, 12))])
     assert [(x.start, x.end) for x in got] == [(5, 9), (9, 12)]
     assert pii.redact("0123456789ab", got) == "01234[PHONE][PHONE]"
+
+
+def test_given_names_that_the_register_lacks(spark, register):
+    for name in ("BERWEN DUNMERE", "Berwen Dunby", "DUNMERE, Berwen", "Berwen B. Ormby"):
+        assert name in spans(f"apply {name}\n* for", register, "name")
+    texts = {i: (t.replace("apply Marna", "apply Berwen") if i % 10 == 0 else t) + " The great fair at Great Dunmere Road. Great Ormby was shut." for i, t in documents(200)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = pii.findings(pii.scan(docs, spark.createDataFrame(NAMES, "name_text string, name_kind string"))).filter("kind = 'name'").collect()
+    found = {(r.doc_id, texts[r.doc_id][r.start_pos : r.end_pos]) for r in rows}
+    mine = {i: t[t.index("Berwen") :].split("\n")[0] for i, t in texts.items() if "Berwen" in t}
+    assert mine and all((i, name) in found for i, name in mine.items())
+    assert not {s for _, s in found if s.startswith(("Messrs", "May", "Market", "On", "Great"))}

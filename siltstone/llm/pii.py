@@ -104,7 +104,7 @@ def fit_kind(kind: str, form: np.ndarray, hints: list[list[str]], y: np.ndarray,
     if kind == "name":
         for to, source in NAME_BEST.items():
             hidden[:, to] = form[:, source]
-        sure = (y > 0) & ((form[:, NAME_TITLE] > 0) | (form[:, 0] >= 5))  # a title or given name vouches for the rest
+        sure = (y > 0) & ((form[:, NAME_TITLE] > 0.6) | (form[:, 0] >= 5))  # a title or given name vouches for the rest
         faint = x[sure]
         faint[:, 1] = FAINT
         vouched = (y > 0) & (form[:, NAME_N_GIVEN] > 0) & (form[:, 1] >= 5)  # the family name vouches for a given name that the register lacks

@@ -377,6 +377,27 @@ TITLE_ENDS_LINE = re.compile(rf"({'|'.join(t.capitalize() for t in TITLES if len
 INSIDE = re.compile(r"[ \t\xa0]*(?:[\r\n\v\f\x85  ]{1,4}[ \t\xa0]*)?")
 
 
+TITLE_FOLDS = {fold(t): t for t in TITLES if len(t) > 2}
+
+
+@lru_cache(maxsize=100_000)
+def _title(word: str) -> tuple[float, str]:
+    """How surely a word is a title (1: exactly, 0.8: of look-alike signs, 0.6: one sign away), and which."""
+    raw = BREAK.sub("", word).rstrip(".'’").lower()
+    if raw in TITLE_SET and len(raw) > 1:
+        return 1.0, raw
+    if len(raw) < 3:  # too short to be recognized when misread
+        return 0.0, ""
+    readings = {fold(r) for r in (raw, raw.replace("rn", "m"), raw.replace("m", "rn"), raw.replace("ri", "n"))}
+    for r in readings:
+        if r in TITLE_FOLDS:
+            return 0.8, TITLE_FOLDS[r]
+    for f, t in TITLE_FOLDS.items():
+        if len(f) > 3 and any(abs(len(f) - len(r)) < 2 and len(r) > 3 and one_away(r, f) for r in readings):
+            return 0.6, raw  # the word itself is learnt: it may be an ordinary one
+    return 0.0, ""
+
+
 def _likeness(register: Register, raw: str):
     """For given and family, and the best of each."""
     known = register.words.get(raw)
@@ -429,12 +450,14 @@ def names(text: str, register: Register, examples: bool = False) -> Iterator[Can
     n = len(tokens)
     like_of = [_likeness(register, t[4]) if t[3] == "W" else None for t in tokens]
 
+    # misread titles; a given name of the register is none
+    title_of = [_title(t[4]) if t[3] == "W" and not like[0][0] else (float(t[3] in ("T", "TI")), t[4].lower()) for t, like in zip(tokens, like_of)]
     # beside a sure family name any word may stand, beside a faint one a title, an initial or a likely given name
     beside = [t[3] in ("I", "T", "TI") or like is not None and like[2] >= LIKELY_GIVEN for t, like in zip(tokens, like_of)] + [False]
 
     def adjoins(i: int, j: int, comma: bool = False) -> bool:
         a, b = tokens[i], tokens[j]
-        at = a[2] if a[3] != "W" else a[1]
+        at = a[2] if a[3] != "W" or title_of[i][0] else a[1]
         between = text[at : b[0]]
         if between == " " and not comma:
             return True
@@ -445,18 +468,21 @@ def names(text: str, register: Register, examples: bool = False) -> Iterator[Can
         return bool(INSIDE.fullmatch(between)) and len(between) < 12
 
     def ordinary(i: int) -> bool:
-        """Whether a faint given name is a family name, or stands in small letters too; asked for the labels only."""
+        """Whether a faint given name is a title or family name, or an ordinary word."""
+        return title_of[i][0] > 0 or like_of[i][1][0] > 0 or small(i)
+
+    def small(i: int) -> bool:
+        """Whether a word that might be a misread title or given name stands in small letters too; asked for the labels only."""
         nonlocal lower
-        if not examples:
-            return False
-        lower = lower or set(LETTERS.findall(text)) or {""}
-        return like_of[i][1][0] > 0 or tokens[i][4].lower() in lower
+        if examples:
+            lower = lower or set(LETTERS.findall(text)) or {""}
+        return tokens[i][4].lower() in lower
 
     # a word before a given name, or before what is no name at all, is not a given name itself (once a text)
     shown: set[str] = set()
     for k in range(1, n) if examples else ():
         if tokens[k][3] == tokens[k - 1][3] == "W" and tokens[k - 1][4] not in shown and like_of[k - 1][2] < LIKELY_GIVEN and (like_of[k][0][0] or like_of[k][3] < 0.5) and adjoins(k - 1, k):
-            yield replace(_name(text, tokens[k - 1][0], tokens[k][1], "", 1, 0, like_of[k - 1][0], like_of[k][1], 0, tokens[k][4], 0.0, tokens[k - 1][4]), label=EXAMPLE)
+            yield replace(_name(text, tokens[k - 1][0], tokens[k][1], NO_TITLE, 1, 0, like_of[k - 1][0], like_of[k][1], 0, tokens[k][4], 0.0, tokens[k - 1][4]), label=EXAMPLE)
             shown.add(tokens[k - 1][4])
 
     crossing = bool(TITLE_ENDS_LINE.search(text))
@@ -482,7 +508,7 @@ def names(text: str, register: Register, examples: bool = False) -> Iterator[Can
                     if like_of[i - 1][2] < LIKELY_GIVEN:
                         if best < 1:
                             break
-                        faint, common = tokens[i - 1][4], ordinary(i - 1)
+                        faint, common = MISREAD if title_of[i - 1][0] else tokens[i - 1][4], ordinary(i - 1)
                 else:
                     break
                 i -= 1
@@ -491,13 +517,13 @@ def names(text: str, register: Register, examples: bool = False) -> Iterator[Can
                     break
                 first_likely = i
             for i, n_given, n_initial, given, faint in spans:
-                title = i > 0 and tokens[i - 1][3] in ("T", "TI") and adjoins(i - 1, i)
+                title = i > 0 and title_of[i - 1][0] > (0 if best >= 1 else 0.99) and adjoins(i - 1, i)  # misread ones before a sure name only
                 if title or n_given or n_initial:
                     more = float(i > first_likely)
-                    yield _name(text, tokens[i][0], tokens[k][1], tokens[i - 1][4] if title else "", n_given, n_initial, given, family_k, 0, tokens[k][4], more, faint, bool(faint) and common)
+                    yield _name(text, tokens[i][0], tokens[k][1], (tokens[i - 1][4], *title_of[i - 1]) if title else NO_TITLE, n_given, n_initial, given, family_k, 0, tokens[k][4], more, faint, bool(faint) and common or bool(title) and title_of[i - 1][0] < 1 and small(i - 1))
             # a title at the end of the line before last: columns were read across each other
             if crossing and likely and k and not (tokens[k - 1][3] and adjoins(k - 1, k)) and (m := CROSSED.search(text[max(0, tokens[k][0] - 160) : tokens[k][0]])):
-                yield _name(text, tokens[k][0], tokens[k][1], m.group(1), 0, 0, (0.0, 0.0, 0.0), family_k, 0, tokens[k][4])
+                yield _name(text, tokens[k][0], tokens[k][1], (m.group(1), 1.0, m.group(1).lower()), 0, 0, (0.0, 0.0, 0.0), family_k, 0, tokens[k][4])
             # words after, with or without a comma
             for comma in (True, False):
                 j, n_given, n_initial, given, faint = k, 0, 0, (0.0, 0.0, 0.0), ""
@@ -511,18 +537,23 @@ def names(text: str, register: Register, examples: bool = False) -> Iterator[Can
                         if like_of[j + 1][2] < LIKELY_GIVEN:
                             if best < 1:
                                 break
-                            faint, common = tokens[j + 1][4], ordinary(j + 1)
+                            faint, common = MISREAD if title_of[j + 1][0] else tokens[j + 1][4], ordinary(j + 1)
                         given, n_given = like, 1
                         end = tokens[j + 1][1]
                     else:
                         break
                     j += 1
-                    title = k > 0 and tokens[k - 1][3] == "T" and adjoins(k - 1, k)
-                    yield _name(text, tokens[k][0], end, tokens[k - 1][4] if title else "", n_given, n_initial, given, family_k, 1 + comma, tokens[k][4], 0.0, faint, bool(faint) and common)
+                    title = k > 0 and title_of[k - 1][0] > (0 if best >= 1 else 0.99) and tokens[k - 1][3] != "TI" and adjoins(k - 1, k)
+                    yield _name(text, tokens[k][0], end, (tokens[k - 1][4], *title_of[k - 1]) if title else NO_TITLE, n_given, n_initial, given, family_k, 1 + comma, tokens[k][4], 0.0, faint, bool(faint) and common)
+
+
+#: No title: what is written, how surely it is one, which it is. The hint of a misread one that is tried as a given name.
+NO_TITLE, MISREAD = ("", 0.0, ""), "<title>"
 
 
-def _name(text: str, start: int, end: int, title: str, n_given: int, n_initial: int, given: tuple, family: tuple, order: int, word: str, more: float = 0.0, faint: str = "", ordinary: bool = False) -> Candidate:
+def _name(text: str, start: int, end: int, titled: tuple[str, float, str], n_given: int, n_initial: int, given: tuple, family: tuple, order: int, word: str, more: float = 0.0, faint: str = "", ordinary: bool = False) -> Candidate:
     span = text[start:end]
+    title, sure, which = titled
     p1, p2, n1, n2, first, final = around(text, start - (len(title) + 2 if title else 0), end)
     crossed = title and not text[max(0, start - 16) : start].rstrip().rstrip(".").endswith(title)
     if crossed:
@@ -538,7 +569,7 @@ def _name(text: str, start: int, end: int, title: str, n_given: int, n_initial:
     upper = float(word.upper() == word)
     form = (
         max(5 * given[0], 3 * given[1], given[2]), max(5 * family[0], 3 * family[1], family[2]), given[2], family[2],
-        float(n_given), float(n_initial), float(bool(title)), float(order == 1), float(order == 2), float(breaks - hyphen), float(hyphen),
+        float(n_given), float(n_initial), sure, float(order == 1), float(order == 2), float(breaks - hyphen), float(hyphen),
         upper, float(span.upper() == span), street, firm, float(first), float(final), float("-" in span), float(span.startswith("van") or " van " in span),
         float(follow[:1].isupper()), len(span), float(p1[:1] == "9"), more, mixed,
     )
@@ -546,9 +577,9 @@ def _name(text: str, start: int, end: int, title: str, n_given: int, n_initial:
         label = -1
     elif more or mixed or firm or street:
         label = 0
-    elif faint and (ordinary or order and title):  # after a title the family name ends the name
+    elif ordinary or faint and order and title:  # after a title the family name ends the name
         label = 0
-    elif family[0] and (given[0] or n_initial and not faint or title) and order != 1:
+    elif family[0] and (given[0] or n_initial and not faint or sure > 0.6) and order != 1:
         label = 1
     elif order == 2 and family[0] and given[0]:
         label = 1
@@ -558,7 +589,7 @@ def _name(text: str, start: int, end: int, title: str, n_given: int, n_initial:
         label = 0
     else:
         label = -1
-    return Candidate("name", start, end, form, (title.lower(), p1, n1, p2, faint.lower()), label)
+    return Candidate("name", start, end, form, (which, p1, n1, p2, faint.lower()), label)
 
 
 #: The best likeness of each sort by register and composition, and where composition alone stands.

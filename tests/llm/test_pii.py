@@ -104,3 +104,14 @@ def test_given_names_that_the_register_lacks(spark, register):
     mine = {i: t[t.index("Berwen") :].split("\n")[0] for i, t in texts.items() if "Berwen" in t}
     assert mine and all((i, name) in found for i, name in mine.items())
     assert not {s for _, s in found if s.startswith(("Messrs", "May", "Market", "On", "Great"))}
+
+
+def test_misread_titles(spark, register):
+    for title in ("Míss", "Miſs", "He'r", "Hcrr", "Monsíeur", "Morisieur", "Mmc", "Rcv."):
+        (got,) = [c for c in candidates(f"by {title} Dunby and", register) if c.kind == "name" and c.end - c.start == 5]
+        assert 0 < got.form[6] < 1 and got.hints[0] in ("miss", "he'r", "herr", "monsieur", "mme", "rev")
+    texts = {i: t + f" The great fair at Great Dunmere Road. Great Ormby was shut, said {'Mlss' if i % 7 == 0 else 'Miss'} Dunby. The" for i, t in documents(200)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = pii.findings(pii.scan(docs, spark.createDataFrame(NAMES, "name_text string, name_kind string"))).collect()
+    found = {(r.doc_id, texts[r.doc_id][: r.start_pos][-5:]) for r in rows if texts[r.doc_id][r.start_pos : r.end_pos] == "Dunby"}
+    assert {i for i, before in found if before == "Mlss "} == set(range(0, 200, 7))

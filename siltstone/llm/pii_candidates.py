@@ -258,15 +258,8 @@ FRENCH = re.compile(rf"(?<![\w.,/£$€\-]){HOUSE}(?:,?{GAP})(?P<type>[^\W\d_]{{
 SPANISH = re.compile(rf"(?P<type>(?<!\w)[^\W\d_]{{5,10}}){GAP}(?:(?:de|del|DE|DEL){GAP}(?:(?:la|los|las|el|LA|LOS|LAS){GAP})?)?{CAP}(?:{GAP}{CAP}){{0,2}},?{GAP}{HOUSE}(?!\w)")
 GERMAN = re.compile(rf"(?<!\w){CAP}(?:{GAP}{CAP})?{GAP}{HOUSE}(?!\w)")
 
-# A text with none of these has no Spanish (German) street, whole or misread.
-SPANISH_HINTS = (" el ", " la ", " del ", " los ", " en ", "calle", "Calle", "CALLE", "avenida", "plaza", " EL ", " LA ")
-GERMAN_HINTS = ("ß", "Str.", "weg ", "weg\n", "platz", " der ", " die ", " und ", " DER ", " DIE ", "STRASSE")
-
-
-def _speaks(text: str, hints: tuple[str, ...]) -> bool:
-    return any(h in text for h in hints)
-
-
+#: Every word that can be the type in SPANISH.
+SPANISH_TYPE = re.compile(r"(?<!\w)[^\W\d_]{5,10}(?=\s)")
 CAPITAL = re.compile(CAP)
 FOLDED_LAST = {fold(w) for w in STREET_LAST}
 FOLDED_JOINED = [fold(w) for w in STREET_JOINED]
@@ -334,11 +327,11 @@ def addresses(text: str) -> Iterator[Candidate]:
             for k, w in enumerate(caps, 1):
                 end = m.end("type") + w.end()
                 yield _address(text, m.start(), end - text[end - 1 : end].count("."), "first", like, k)
-    for m in SPANISH.finditer(text) if _speaks(text, SPANISH_HINTS) else ():
+    for m in SPANISH.finditer(text) if any(map(_street_first, SPANISH_TYPE.findall(text))) else ():
         like = _street_first(m.group("type"))
         if like:
             yield _address(text, m.start(), m.end(), "spanish", like, 1)
-    for m in GERMAN.finditer(text) if _speaks(text, GERMAN_HINTS) else ():
+    for m in GERMAN.finditer(text):
         caps = [c for c in CAPITAL.finditer(m.group()) if c.end() - c.start() > 1]  # not the letter of a house number
         like = _street_joined(caps[-1].group()) if caps else 0.0
         if like:
@@ -399,13 +392,13 @@ def _title(word: str) -> tuple[float, str]:
 
 
 def _likeness(register: Register, raw: str):
-    """For given and family, and the best of each."""
+    """For given and family, the best of each, and for a title (a given name of the register is none)."""
     known = register.words.get(raw)
     if known is None:
         if len(register.words) > 400_000:
             register.words.clear()
         given, family = _best_reading(register, raw)
-        known = register.words[raw] = (given, family, max(given), max(family))
+        known = register.words[raw] = (given, family, max(given), max(family), (0.0, "") if given[0] else _title(raw))
     return known
 
 
@@ -450,8 +443,7 @@ def names(text: str, register: Register, examples: bool = False) -> Iterator[Can
     n = len(tokens)
     like_of = [_likeness(register, t[4]) if t[3] == "W" else None for t in tokens]
 
-    # misread titles; a given name of the register is none
-    title_of = [_title(t[4]) if t[3] == "W" and not like[0][0] else (float(t[3] in ("T", "TI")), t[4].lower()) for t, like in zip(tokens, like_of)]
+    title_of = [like[4] if like else (float(t[3] in ("T", "TI")), t[4].lower()) for t, like in zip(tokens, like_of)]
     # beside a sure family name any word may stand, beside a faint one a title, an initial or a likely given name
     beside = [t[3] in ("I", "T", "TI") or like is not None and like[2] >= LIKELY_GIVEN for t, like in zip(tokens, like_of)] + [False]
 

@@ -115,3 +115,8 @@ def test_misread_titles(spark, register):
     rows = pii.findings(pii.scan(docs, spark.createDataFrame(NAMES, "name_text string, name_kind string"))).collect()
     found = {(r.doc_id, texts[r.doc_id][: r.start_pos][-5:]) for r in rows if texts[r.doc_id][r.start_pos : r.end_pos] == "Dunby"}
     assert {i for i, before in found if before == "Mlss "} == set(range(0, 200, 7))
+
+
+def test_short_texts_have_addresses_too(register):
+    for text in ("Lindenallee 5", "Nordufer 12", "Hauptstrasse 7", "Camino Real 14", "Camlno Real 14"):
+        assert spans(text, register, "address") == {text}

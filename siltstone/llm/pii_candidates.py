@@ -419,6 +419,10 @@ def _best_reading(register: Register, raw: str) -> tuple[tuple[float, float, flo
     return best
 
 
+def _weakest(a: tuple[float, float, float], b: tuple[float, float, float]) -> tuple[float, float, float]:
+    return tuple(map(min, a, b))
+
+
 def names(text: str, register: Register, examples: bool = False) -> Iterator[Candidate]:
     """Names; with ``examples`` also pairs of words that are none, by which ordinary words are learnt."""
     tokens = []
@@ -494,20 +498,21 @@ def names(text: str, register: Register, examples: bool = False) -> Iterator[Can
                     n_initial += 1
                 elif kind == "W":
                     like = like_of[i - 1][0]
-                    if n_given:
-                        break
-                    given, n_given = like, n_given + 1
                     if like_of[i - 1][2] < LIKELY_GIVEN:
-                        if best < 1:
+                        if best < 1 or n_given:
                             break
                         faint, common = MISREAD if title_of[i - 1][0] else tokens[i - 1][4], ordinary(i - 1)
+                    sure = not n_given or like[1] > 0
+                    given = _weakest(given, like) if n_given else like
+                    n_given += 1
                 else:
                     break
                 i -= 1
                 spans.append((i, n_given, n_initial, given, faint))
                 if faint:  # the trees are to judge it; nothing is joined to it
                     break
-                first_likely = i
+                if kind != "W" or sure:  # a further given name that the register lacks doesn't make the shorter span wrong
+                    first_likely = i
             for i, n_given, n_initial, given, faint in spans:
                 title = i > 0 and title_of[i - 1][0] > (0 if best >= 1 else 0.99) and adjoins(i - 1, i)  # misread ones before a sure name only
                 if title or n_given or n_initial:
@@ -524,13 +529,14 @@ def names(text: str, register: Register, examples: bool = False) -> Iterator[Can
                     if kind in ("I", "TI"):
                         n_initial += 1
                         end = tokens[j + 1][2]
-                    elif kind == "W" and not n_given:
+                    elif kind == "W":
                         like = like_of[j + 1][0]
                         if like_of[j + 1][2] < LIKELY_GIVEN:
-                            if best < 1:
+                            if best < 1 or n_given:
                                 break
                             faint, common = MISREAD if title_of[j + 1][0] else tokens[j + 1][4], ordinary(j + 1)
-                        given, n_given = like, 1
+                        given = _weakest(given, like) if n_given else like
+                        n_given += 1
                         end = tokens[j + 1][1]
                     else:
                         break

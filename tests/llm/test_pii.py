@@ -120,3 +120,10 @@ def test_misread_titles(spark, register):
 def test_short_texts_have_addresses_too(register):
     for text in ("Lindenallee 5", "Nordufer 12", "Hauptstrasse 7", "Camino Real 14", "Camlno Real 14"):
         assert spans(text, register, "address") == {text}
+
+
+def test_several_given_names(register):
+    assert {"Marna Rose Dunby", "Rose Dunby"} <= spans("apply Marna Rose Dunby\n* for", register, "name")
+    assert "DUNMERE, Marna Rose" in spans("to DUNMERE, Marna Rose, of", register, "name")
+    (whole,) = [c for c in candidates("apply Marna Rose Dunby\n* for", register) if c.kind == "name" and c.start == 6]
+    assert whole.label == 1 and whole.form[4] == 2

@@ -80,11 +80,12 @@ def consolidate(spark: SparkSession, entry_path: str, chosen: DataFrame, files_p
 
     ``chosen``: ``number`` of the files, fixed for the run. Records are streamed
     from the table of entries; one that several chosen files hold stays once.
+    A row without a ``seq`` is no record; null keys are records, equal to each other.
     """
     at = scratch(spark, "compactor")
     chosen.write.parquet(f"{at}/chosen")
     fixed = spark.read.schema("number long").parquet(f"{at}/chosen")
-    records = file_stream(spark, entry_path, files_per_batch).filter("key is not null and seq is not null").join(fixed, "number", "left_semi").select("key", "seq", "op")
+    records = file_stream(spark, entry_path, files_per_batch).filter("seq is not null").join(fixed, "number", "left_semi").select("key", "seq", "op")
     schema = records.schema
     compact_stream(records, ["key", "seq", "op"], ["key", "seq"], f"{at}/out", f"{at}/checkpoint", target_bytes)
     return compacted(spark, f"{at}/out", schema)

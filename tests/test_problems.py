@@ -135,6 +135,12 @@ class TestCompactor:
         want = sorted({k for n in range(0, 8, 2) for k in range(n, n + 6)})
         assert sorted(bytes(r.key)[0] for r in got.collect()) == want
 
+    def test_records_with_a_null_key_stay(self, spark, tmp_path):
+        rows = [(1, None, 7, 1, "x"), (1, b"a", 8, 1, "x"), (1, b"b", None, 1, "x")]
+        path = write_files(spark, f"{tmp_path}/in", [rows, [(2, None, 7, 1, "x")]], "number long, key binary, seq long, op int, extra string")
+        got = compactor.consolidate(spark, path, spark.createDataFrame([(1,), (2,)], "number long"))
+        assert sorted(r.seq for r in got.collect()) == [7, 8]
+
     def test_directory_of_tiny_files(self, spark, tmp_path):
         path = write_files(spark, f"{tmp_path}/in", [[(i, f"t{i}" * (5000 if i == 3 else 1))] for i in range(7)] + [[(2, "t2"), (None, None)]], "id long, body string")
         out = f"{tmp_path}/out"

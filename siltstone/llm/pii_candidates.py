@@ -21,6 +21,8 @@ ABBREVIATED = "rd st ln ave av ter cres sq pl ct gdns dr".split()
 STREET_JOINED = "straße strasse str weg platz gasse allee ufer damm markt ring steig".split()
 STREET_FIRST = "rue avenue av boulevard bd place quai chemin impasse allée cours route ruelle square calle avenida avda av plaza paseo camino ronda travesía callejón carretera".split()
 
+SHORT_FIRST = "av avda bd".split()
+
 # Words that make the capitals before them a firm, board or ship.
 FIRM = "co & sons brothers bros board company ltd limited and".split()
 
@@ -28,7 +30,7 @@ EXAMPLE = -2
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
-BREAK = re.compile(r"-[ \t\xa0]*[\r\n\v\f\x1c-\x1e\x85  ]\s*")
+BREAK = re.compile(r"-[ \t\xa0]*[\r\n\v\f\x1c-\x1e\x85\u2028\u2029]\s*")
 WORD = re.compile(r"[^\W_]+(?:['’.\-][^\W_]+)*|[£$€@&*“”„«»:;,.]")
 
 
@@ -105,7 +107,6 @@ class Register:
 
 DIGITS = re.compile(r"\d+")
 LINE_END = re.compile(r"[\r\n\v\f\x85\u2028\u2029]")
-LINE_ENDS = tuple("\r\n\v\f\x85\u2028\u2029")
 LINE_START = re.compile(r"(?:^|[\r\n\v\f\x85\u2028\u2029])[\s*]*$")
 LINE_STOP = re.compile(r"[ \t\xa0]*(?:[\r\n\v\f\x85\u2028\u2029]|$)")
 LAST_DIGIT = re.compile(r"\d")
@@ -130,20 +131,22 @@ def around(text: str, start: int, end: int) -> tuple[str, str, str, str, bool, b
 # --- email ---------------------------------------------------------------
 
 SIGN = re.compile(r"[@©®¢ⓐ＠]|[(\[{](?:at|a|AT|A|@)[)\]}]")
-LOCAL = re.compile(r"(?:[\w+|�\xad'’!]|[.\-](?=[\w+|�\xad])|[.\-_]\s{0,2}[\r\n]\s{0,2}(?=[\w+]))+$")
+#: The local part, in the text read backwards from the sign.
+LOCAL = re.compile(r"(?:[\w+|�\xad'’!]|(?<=[\w+|�\xad])[.\-]|(?<=[\w+])\s{0,2}[\r\n]\s{0,2}[.\-_])+")
 HOST = re.compile(r"\s{0,3}((?:[\w|�\xad'’!]|-(?:[ \t]*[\r\n]+\s{0,2})?(?=\w))+(?:\.(?:[ \t]*[\r\n]+[ \t]{0,2})?(?:[\w|�\xad!]|-(?:[ \t]*[\r\n]+\s{0,2})?(?=\w))+)+)")
 
 
-def emails(text: str) -> Iterator[Candidate]:
+def emails(text: str, backwards: str | None = None) -> Iterator[Candidate]:
+    backwards = text[::-1] if backwards is None else backwards
     for m in SIGN.finditer(text):
         near = text[max(0, m.start() - 3) : m.start()]
         at = m.start() - (len(near) - len(near.rstrip()))
-        left = LOCAL.search(text[max(0, at - 64) : at])
+        left = LOCAL.match(backwards, len(text) - at)
         right = HOST.match(text, m.end())
         if not left or not right:
             continue
         start, end = at - len(left.group()), m.end() + len(text[m.end() : right.end(1)].rstrip("!'’|"))
-        local, host = BREAK.sub("", left.group()), re.sub(r"\s", "", BREAK.sub("-", text[right.start(1) : end]))
+        local, host = BREAK.sub("", text[start:at]), re.sub(r"\s", "", BREAK.sub("-", text[right.start(1) : end]))
         if not host:
             continue
         last = host.rsplit(".", 1)[-1]
@@ -161,11 +164,11 @@ def emails(text: str) -> Iterator[Candidate]:
 DIGIT = r"[0-9]|[OolI|!SZBbGg�'](?![a-z]|[A-Z]{2})"
 GROUP = re.compile(r"[0-9](?:[0-9OolI|!SZBbGg�'](?![a-z]{2}))*|[OolI|SZB](?=[0-9])[0-9OolI|!SZB]*")
 NUMBERS = re.compile(
-    r"(?<![\w£$€.,:/\-])(?:[A-Z]{2}(?:[-\s]{0,2}(?=\d)|(?=[OolISZB|]\d)))?[+(]?\s?"
+    r"(?<![\w£$€.,:/\-])(?:[A-Z]{2}(?:[-\s]{0,2}(?=\d)|(?=[OolISZB|]\d))|(?:[A-Z]{3}|[A-Z])[- ]?(?=\d))?[+(]?\s?"
     + rf"(?:[0-9OolI|SZB](?=[0-9 )\-./OolI|SZB!])|[0-9])(?:{DIGIT}|[ \t\xa0./)(\-–]|\s(?=[\d(]))*"
     + r"(?:[-\s]{0,3}(?<![\w])[A-Z](?![\w'’])|[A-Z](?![\w]))?"
 )
-PREFIX = re.compile(r"[A-Z]{2}(?=[-\s]*[\dOolISZB|])")
+PREFIX = re.compile(r"[A-Z]{1,3}(?=[-\s]*[\dOolISZB|])")
 SUFFIX = re.compile(r"[-\s]?[A-Z](?!\w)")
 BLANKS = re.compile(r"\s+")
 TAIL = re.compile(r"[-\s]{0,3}[A-Z](?![\w'’])")
@@ -173,29 +176,37 @@ LEAD_PHONE = set("tel tél ruf ring telephone teléfono téléphone telefon phon
 LEAD_ID = set("titular cédula versicherte nummer dokument card carte passport pasaporte pass passeport member insurance ausweis mitglied assuré asegurado versicherung carné numbered".split())
 LEAD_NOT = set("patent lot box ref réf numbers loterie open votes catalogue numéro brevet los patente circulation tirage auflage lote".split())
 
+# Fixed value: a phone number has no more digits, with its country code.
+MOST_DIGITS = 15
+LEADS = LEAD_PHONE | LEAD_ID | LEAD_NOT | {"nr", "no"}
 
 #: Where a number may end although digits follow: a line end, a wide gap, a sentence's end.
 LOOSE = re.compile(r"[\r\n\v\f\x85\u2028\u2029\t]|\s{2}|\.\s")
 
 
 def numbers(text: str) -> Iterator[Candidate]:
+    """Runs of digit groups, cut where a number may end.
+
+    A number lies on one piece of a run, on up to three neighbours, or is the
+    whole run, whatever its length; so a run gives a number of candidates in
+    proportion to its pieces.
+    """
     for m in NUMBERS.finditer(text):
         run, base = m.group(), m.start()
+        if len(run) < 6:
+            continue
         groups = [g.span() for g in GROUP.finditer(run)]
         if sum(b - a for a, b in groups) < 6:
             continue
         prefix = PREFIX.match(run)
-        between = [run[x[1] : y[0]] for x, y in zip(groups, groups[1:])]
-        loose = [True, *(bool(LOOSE.search(x)) for x in between), True]
-        for i in range(len(groups)):
-            if not loose[i]:
-                continue
-            digits = 0
-            for j in range(i, min(i + 7, len(groups))):
-                digits += groups[j][1] - groups[j][0]
-                if digits > 15:
-                    break
-                if digits < 6 or not loose[j + 1]:
+        if prefix and prefix.group().lower() in LEADS:  # a word before the number, not a part of it
+            prefix = None
+        ends = [j for j, (x, y) in enumerate(zip(groups, groups[1:])) if LOOSE.search(run, x[1], y[0])] + [len(groups) - 1]
+        starts = [0, *(j + 1 for j in ends[:-1])]
+        for at, i in enumerate(starts):
+            last = ends[at : at + 3]
+            for j in last if i or last[-1] == ends[-1] else [*last, ends[-1]]:
+                if sum(y - x for x, y in groups[i : j + 1]) < 6:
                     continue
                 a, b = groups[i][0], groups[j][1]
                 while a and run[a - 1] in "+(":
@@ -220,24 +231,28 @@ def _number(text: str, run: str, base: int, a: int, b: int, groups: list[tuple[i
         return
     start, end = base + a, base + b
     p1, p2, n1, n2, first, final = around(text, start, end)
-    shape = ("+" if "+" in span[:2] else "") + ("(" if "(" in span[:3] else "") + ("AA" if letters else "") + "".join(f"{y - x}{s}" for (x, y), s in zip(groups, [*seps, ""])) + ("A" if tail else "")
+    shape = ("+" if "+" in span[:2] else "") + ("(" if "(" in span[:3] else "") + "A" * len(letters) + "".join(f"{y - x}{s}" for (x, y), s in zip(groups, [*seps, ""])) + ("A" if tail else "")
     # the words before the run, back to the last number
-    lead = text[max(0, base - 40) : base + a if a < 3 else base].lower()
+    lead = text[max(0, base - 40) : base + a if a < 3 or run[:a].strip(" -").lower() in LEADS else base].lower()
     words = LETTERS.findall(LAST_DIGIT.split(BREAK.sub("", lead) if "-" in lead else lead)[-1])[-3:]
-    line_breaks = len(LINE_END.findall(span))
+    inner = [k + 1 for k, (x, y) in enumerate(zip(groups, groups[1:])) if LOOSE.search(run, x[1], y[0])]
+    # two whole numbers side by side
+    double = any(min(sum(y - x for x, y in groups[:k]), sum(y - x for x, y in groups[k:])) > 6 for k in inner)
+    line_breaks = 0 if double else len(LINE_END.findall(span))
     more_left = float(not letters and any(x.isalnum() for x in LOOSE.split(run[max(0, a - 24) : a])[-1]))
     more_right = float(not tail and any(x.isalnum() for x in LOOSE.split(run[b : b + 24])[0]))
     lead = next((k for w in reversed(words) for k, s in enumerate((LEAD_PHONE, LEAD_ID, LEAD_NOT)) if w in s), 2 if "nr" in words else -1)
     lead_phone, lead_id, lead_not = float(lead == 0), float(lead == 1), float(lead == 2)
     hint = (shape, p1, p2, n1, shape[:2] + "|" + re.sub(r"\D", "", span)[:1])
-    form = (size, len(groups), groups[0][1] - groups[0][0], groups[-1][1] - groups[-1][0], float("+" in span), float("(" in span), float(len(set(seps)) > 1), float(bool(letters)), float(bool(tail)), size - clean, line_breaks, more_left, more_right, lead_phone, lead_id, lead_not, float(first), float(final), float(span[:1] == "0"), float(span[:1] == "9"), float("." in span), float("-" in span), float("/" in span))
+    form = (size, len(groups), groups[0][1] - groups[0][0], groups[-1][1] - groups[-1][0], float("+" in span), float("(" in span), float(len(set(seps)) > 1), float(bool(letters)), float(bool(tail)), size - clean, line_breaks, more_left, more_right, lead_phone, lead_id, lead_not, float(first), float(final), float(span[:1] == "0"), float(span[:1] == "9"), float("." in span), float("-" in span), float("/" in span), float(double))
     # the whole run right after its lead word settles it
-    whole = not more_left and not more_right and not line_breaks
-    phone = 1 if whole and lead_phone and not letters else 0 if letters or lead_not or lead_id or (more_left and more_right) else -1
+    whole = not more_left and not more_right and not line_breaks and not double
+    heading = len(letters) > 2 and span[len(letters)] == " " and text[end : end + 4].strip().isupper()
+    phone = 1 if whole and lead_phone and not letters else 0 if letters or lead_not or lead_id or double or size > MOST_DIGITS or (more_left and more_right) else -1
     ident = -1
     if whole and (lead_id or words[-2:] == ["member", "no"]) and (letters or size >= 8):
         ident = 1
-    elif lead_phone or lead_not or (more_left and more_right) or (letters and not tail and SUFFIX.match(text, end)):
+    elif lead_phone or lead_not or double or heading or (more_left and more_right) or (letters and not tail and SUFFIX.match(text, end)):
         ident = 0
     if not letters:
         yield Candidate("phone", start, end, form, hint, phone)
@@ -250,17 +265,25 @@ MONTHS = set("january february march april may june july august september octobe
 
 # --- addresses -------------------------------------------------------------
 
-HOUSE = r"\d[\dOolI]{0,3}(?:[a-dA-D]|\s?(?:bis|ter))?"
+HOUSE = r"\d[\dOolI]*(?:[a-dA-D]|\s?(?:bis|ter))?"
 CAP = r"[A-ZÀ-ÖØ-Þ](?:[\w|�\xad!'’]|-(?:[ \t]*[\r\n]+\s{0,2})?(?=\w))*\.?"
-GAP = r"(?:[ \t\xa0]+|[ \t\xa0]*[\r\n\v\f\x85  ]{1,4}[ \t\xa0]*)"
-ENGLISH = re.compile(rf"(?<![\w.,/£$€\-]){HOUSE}(?:,?{GAP}){CAP}(?:{GAP}{CAP}){{1,3}}")
-FRENCH = re.compile(rf"(?<![\w.,/£$€\-]){HOUSE}(?:,?{GAP})(?P<type>[^\W\d_]{{2,10}}\.?){GAP}(?:(?:de|du|des|DE|DU|DES|d['’]|l['’]|D['’])(?:{GAP})?(?:(?:la|le|les|LA|l['’]){GAP}?)?)?{CAP}(?:{GAP}{CAP}){{0,2}}")
-SPANISH = re.compile(rf"(?P<type>(?<!\w)[^\W\d_]{{5,10}}){GAP}(?:(?:de|del|DE|DEL){GAP}(?:(?:la|los|las|el|LA|LOS|LAS){GAP})?)?{CAP}(?:{GAP}{CAP}){{0,2}},?{GAP}{HOUSE}(?!\w)")
-GERMAN = re.compile(rf"(?<!\w){CAP}(?:{GAP}{CAP})?{GAP}{HOUSE}(?!\w)")
-
-#: Every word that can be the type in SPANISH.
-SPANISH_TYPE = re.compile(r"(?<!\w)[^\W\d_]{5,10}(?=\s)")
-CAPITAL = re.compile(CAP)
+GAP = r"(?:[ \t\xa0]+|[ \t\xa0]*[\r\n\v\f\x85\u2028\u2029]+[ \t\xa0]*)"
+
+#: Where a house number may begin, the number with what divides it from the street, and at the end of an address.
+HOUSE_START = re.compile(r"(?<![\w.,/£$€\-])\d")
+HOUSE_AHEAD = re.compile(rf"{HOUSE},?{GAP}(?=[^\W\d_])")
+HOUSE_END = re.compile(rf"{HOUSE}(?!\w)")
+CAPITAL, NEXT = re.compile(CAP), re.compile(GAP)
+#: The type before a French street name, with the small words between.
+TYPE_AHEAD = re.compile(rf"([^\W\d_]{{2,}}\.?){GAP}(?:(?:de|du|des|DE|DU|DES|d['’]|l['’]|D['’])(?:{GAP})?(?:(?:la|le|les|LA|l['’]){GAP}?)?)?(?=[A-ZÀ-ÖØ-Þ])")
+#: In the text read backwards: a gap, a capitalised word, any word.
+GAP_BACK = re.compile(rf"{GAP},?|,{GAP}?")
+CAP_BACK = re.compile(r"\.?(?:[\w|�\xad!'’]|(?<=\w)(?:\s{0,2}[\r\n]+[ \t]*)?-)*[A-ZÀ-ÖØ-Þ](?!\w)")
+WORD_BACK = re.compile(r"\.?[^\W\d_]+(?!\w)")
+#: Street names of up to so many words in question are tried at each, longer ones at their last too.
+NEAR = 8
+# Small words inside Spanish street names.
+SPANISH_SMALL = set("de del la los las el".split())
 FOLDED_LAST = {fold(w) for w in STREET_LAST}
 FOLDED_JOINED = [fold(w) for w in STREET_JOINED]
 FOLDED_FIRST = {fold(w) for w in STREET_FIRST}
@@ -283,6 +306,8 @@ def _street_joined(word: str) -> float:
     best = max((len(t) for t in FOLDED_JOINED if w.endswith(t)), default=0)
     if best and (len(w) > best + 2 or w == "sfr"):
         return 1.0
+    if best == len(w) > 3:  # a word of its own: "Am Alten Markt"
+        return 0.6
     return 0.6 if len(w) > 7 and any(len(t) > 4 and one_away(w[-len(t) :], t) for t in FOLDED_JOINED) else 0.0
 
 
@@ -304,42 +329,93 @@ def one_away(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :]
 
 
-def addresses(text: str) -> Iterator[Candidate]:
-    for m in ENGLISH.finditer(text):
-        caps = list(CAPITAL.finditer(m.group()))
-        caps = [c for c in caps if c.end() - c.start() > 1]
-        if not caps or caps[0].group().lower().rstrip(".") in MONTHS:
-            continue
-        best = 0.0
-        for k, w in enumerate(caps[1:] if len(caps) > 1 else caps, 1):
-            like = _street_last(w.group())
+def addresses(text: str, backwards: str | None = None) -> Iterator[Candidate]:
+    """Streets before and after each number that can be a house number.
+
+    From the number the capitalised words beside it are followed as far as they
+    go: ahead for 'number name type' and 'number type name', back for 'type name
+    number' and 'name-with-type number'. Numbers end such a walk, so all walks
+    together are as long as the text.
+    """
+    backwards = text[::-1] if backwards is None else backwards
+    for m in HOUSE_START.finditer(text):
+        at = m.start()
+        if ahead := HOUSE_AHEAD.match(text, at):
+            yield from _number_first(text, at, ahead.end())
+        if at and text[at - 1].isspace() and (end := HOUSE_END.match(text, at)):
+            yield from _number_last(text, backwards, at, end.end())
+
+
+def _capitals(text: str, at: int) -> list[tuple[int, int]]:
+    """The capitalised words from ``at`` on that follow each other."""
+    out = []
+    while m := CAPITAL.match(text, at):
+        out.append(m.span())
+        gap = NEXT.match(text, m.end())
+        if not gap:
+            break
+        at = gap.end()
+    return out
+
+
+def _ends(found: list) -> list:
+    """Where a street name may end: at any of the first words in question, or at the last one of all."""
+    return found if len(found) <= NEAR else [*found[:NEAR], found[-1]]
+
+
+def _number_first(text: str, start: int, at: int) -> Iterator[Candidate]:
+    chain = _capitals(text, at)
+    caps = [c for c in chain if c[1] - c[0] > 1]
+    if caps and len(chain) > 1 and text[slice(*caps[0])].lower().rstrip(".") not in MONTHS:
+        best, found = 0.0, []
+        for k, (a, b) in enumerate(caps[1:] if len(caps) > 1 else caps, 1):
+            like = _street_last(text[a:b])
             if like and like >= best:
                 best = like
-                end = m.start() + w.end()
-                if w.group().endswith(".") and w.group()[:-1].lower() not in ABBREVIATED:
-                    end -= 1
-                yield _address(text, m.start(), end, "last", like, k)
-    for m in FRENCH.finditer(text):
-        like = _street_first(m.group("type"))
-        if like:
-            caps = list(CAPITAL.finditer(text[m.end("type") : m.end()]))
-            caps = [c for c in caps if not re.fullmatch(r"(?:DE|DU|DES|LA|LES?|D['’].*)", c.group())] or caps
-            for k, w in enumerate(caps, 1):
-                end = m.end("type") + w.end()
-                yield _address(text, m.start(), end - text[end - 1 : end].count("."), "first", like, k)
-    for m in SPANISH.finditer(text) if any(map(_street_first, SPANISH_TYPE.findall(text))) else ():
-        like = _street_first(m.group("type"))
-        if like:
-            yield _address(text, m.start(), m.end(), "spanish", like, 1)
-    for m in GERMAN.finditer(text):
-        caps = [c for c in CAPITAL.finditer(m.group()) if c.end() - c.start() > 1]  # not the letter of a house number
-        like = _street_joined(caps[-1].group()) if caps else 0.0
-        if like:
-            own = fold(BREAK.sub("", caps[-1].group()).rstrip(".")) in FOLDED_JOINED
-            start = m.start() if own else m.start() + caps[-1].start()
-            if own and len(caps) == 1:
-                continue
-            yield _address(text, start, m.end(), "joined", like, len(caps))
+                found.append((b - (text[b - 1] == "." and text[a : b - 1].lower() not in ABBREVIATED), like, k))
+        for end, like, k in _ends(found):
+            yield _address(text, start, end, "last", like, k)
+    kind = TYPE_AHEAD.match(text, at)
+    like = _street_first(kind.group(1)) if kind else 0.0
+    if like:
+        caps = _capitals(text, kind.end())
+        caps = [c for c in caps if not re.fullmatch(r"(?:DE|DU|DES|LA|LES?|D['’].*)", text[slice(*c)])] or caps
+        for k, (_, b) in _ends(list(enumerate(caps, 1))):
+            yield _address(text, start, b - (text[b - 1] == "."), "first", like, k)
+
+
+def _number_last(text: str, backwards: str, at: int, end: int) -> Iterator[Candidate]:
+    n = len(text)
+    gap = GAP_BACK.match(backwards, n - at)
+    word = CAP_BACK.match(backwards, gap.end()) if gap else None
+    if not word:
+        return
+    last = text[n - word.end() : n - word.start()]
+    like = 0.0 if "," in gap.group() or len(last) < 2 else _street_joined(last)
+    own = like and fold(BREAK.sub("", last).rstrip(".")) in FOLDED_JOINED
+    if like and not own:
+        yield _address(text, n - word.end(), end, "joined", like, 1)
+    caps, small, before, joined = 1, 0, [], []
+    while (gap := NEXT.match(backwards, word.end())) and (word := CAP_BACK.match(backwards, gap.end()) or WORD_BACK.match(backwards, gap.end())):
+        start, w = n - word.end(), text[n - word.end() : n - word.start()]
+        first = _street_first(w) if len(w) > 1 else 0.0
+        if first and (w[-1] != "." or w[:-1].lower() in SHORT_FIRST):
+            before.append((start, first, caps))
+        if w in SPANISH_SMALL or w.lower() in SPANISH_SMALL and w.isupper():
+            small += 1
+            if small > 2:
+                break
+            own = own and w.isupper()
+        elif w[0].isupper():
+            caps, small = caps + 1, 0
+            if own:
+                joined.append((start, like, caps))
+        else:
+            break
+    for start, first, words in _ends(before):
+        yield _address(text, start, end, "spanish", first, words)
+    for start, like, words in _ends(joined):
+        yield _address(text, start, end, "joined", like, words)
 
 
 def _address(text: str, start: int, end: int, form_of: str, like: float, words: int) -> Candidate:
@@ -354,7 +430,7 @@ def _address(text: str, start: int, end: int, form_of: str, like: float, words:
     goes_on = float(bool(re.match(r"[ \t\xa0][A-ZÀ-ÖØ-Þ]", text[end : end + 2])))
     hanging = float(form_of == "first" and words > 1 and bool(re.search(r"[\r\n\v\f\x85\u2028\u2029]\s*[A-ZÀ-ÖØ-Þ][^\r\n]*$", span)))
     form = (like, words, len(span), n_digits, breaks, float("-\n" in span), upper, float("," in span), float(form_of == "last"), float(form_of == "first"), float(form_of == "spanish"), float(form_of == "joined"), float(first), float(final), month, money, goes_on, hanging)
-    label = 0 if money or month else 1 if like == 1 and not breaks and words <= 3 else -1
+    label = 0 if money or month or form_of == "joined" and words > 2 or n_digits > 5 or form_of in ("first", "last") and p1[:1] == "9" else 1 if like == 1 and not breaks and words <= 3 else -1
     if form_of == "first" and (goes_on or hanging):  # the name of the street goes on, or had ended before
         label = 0
     return Candidate("address", start, end, form, (street, p1, n1, form_of + str(words)), label)
@@ -365,9 +441,9 @@ def _address(text: str, start: int, end: int, form_of: str, like: float, words:
 TOKEN = re.compile(r"[A-ZÀ-ÖØ-Þ�](?:[\w|�\xad!'’]|-(?=[^\W\d_])|-[ \t\xa0]*[\r\n\v\f\x85\u2028\u2029]+[ \t\xa0]*(?=[^\W\d_]))*(?P<dot>\.?)")
 PARTICLES = ("van ", "Van ", "VAN ")
 TITLE_SET = set(TITLES)
-CROSSED = re.compile(rf"(?:^|[^\w])({'|'.join(t.capitalize() for t in TITLES if len(t) > 1)})\.?[ \t\xa0]*(?:\r\n|[\r\n\v\f\x85\u2028\u2029]){{1,2}}[^\r\n\v\f\x85\u2028\u2029]+(?:\r\n|[\r\n\v\f\x85\u2028\u2029]){{1,2}}[ \t\xa0]*$")
-TITLE_ENDS_LINE = re.compile(rf"({'|'.join(t.capitalize() for t in TITLES if len(t) > 1)})\.?[ \t\xa0]*[\r\n\v\f\x85\u2028\u2029]")
-INSIDE = re.compile(r"[ \t\xa0]*(?:[\r\n\v\f\x85  ]{1,4}[ \t\xa0]*)?")
+#: From a title at the end of a line up to the line after the next: columns may have been read across each other.
+CROSSED = re.compile(r"[ \t\xa0]*(?:\r\n|[\r\n\v\f\x85\u2028\u2029]){1,2}[^\r\n\v\f\x85\u2028\u2029]+(?:\r\n|[\r\n\v\f\x85\u2028\u2029]){1,2}[ \t\xa0]*")
+INSIDE = re.compile(r"[ \t\xa0]*(?:[\r\n\v\f\x85\u2028\u2029]+[ \t\xa0]*)?")
 
 
 TITLE_FOLDS = {fold(t): t for t in TITLES if len(t) > 2}
@@ -391,14 +467,45 @@ def _title(word: str) -> tuple[float, str]:
     return 0.0, ""
 
 
-def _likeness(register: Register, raw: str):
-    """For given and family, the best of each, and for a title (a given name of the register is none)."""
+class Word:
+    """What a capitalised word is by itself, whatever stands around it."""
+
+    __slots__ = ("kind", "text", "skip", "dot", "given", "family", "best_given", "best_family", "title", "beside")
+
+    def __init__(self, register: Register, raw: str):
+        self.dot = raw[-1] == "."
+        w = raw[:-1] if self.dot else raw
+        bare = w.rstrip("'’")
+        self.skip, self.given, self.family, self.title = 0, NOTHING, NOTHING, (0.0, "")
+        if w in ("VAN", "Van"):
+            self.kind = None
+        elif bare.lower() in TITLE_SET and len(bare) > 1 or bare in ("M", "m") and self.dot:
+            self.kind = "T" if len(bare) > 1 else "TI"
+        elif len(bare) == 1:
+            self.kind = "I" if self.dot else ""
+        else:
+            self.kind = "W"
+        if len(w) > 4 and "-" in w and (b := BREAK.search(w)) and w[b.end() : b.end() + 1].isupper() and not w.isupper() and max(max(x) for x in register.likeness(w[: b.start()])) < 2:
+            self.skip, w = b.end(), w[b.end() :]  # half a word of another column
+        self.text = w
+        if self.kind == "W":
+            self.given, self.family = _best_reading(register, w)
+            self.title = (0.0, "") if self.given[0] else _title(w)
+        elif self.kind:
+            self.title = (float(self.kind != "I"), w.lower())
+        self.best_given, self.best_family = max(self.given), max(self.family)
+        self.beside = self.kind in ("I", "T", "TI") or self.best_given >= LIKELY_GIVEN
+
+
+NOTHING = (0.0, 0.0, 0.0)
+
+
+def _word_of(register: Register, raw: str) -> Word:
     known = register.words.get(raw)
     if known is None:
         if len(register.words) > 400_000:
             register.words.clear()
-        given, family = _best_reading(register, raw)
-        known = register.words[raw] = (given, family, max(given), max(family), (0.0, "") if given[0] else _title(raw))
+        known = register.words[raw] = Word(register, raw)
     return known
 
 
@@ -424,84 +531,87 @@ def _weakest(a: tuple[float, float, float], b: tuple[float, float, float]) -> tu
 
 
 def names(text: str, register: Register, examples: bool = False) -> Iterator[Candidate]:
-    """Names; with ``examples`` also pairs of words that are none, by which ordinary words are learnt."""
-    tokens = []
+    """Names; with ``examples`` also pairs of words that are none, by which ordinary words are learnt.
+
+    Every word that may be a family name is tried with all given names and
+    initials beside it. Beyond three words that walk ends at a word which may be
+    a family name itself and so has walks of its own; all walks together are as
+    long as the text.
+    """
+    tokens: list[tuple[int, int, int, Word]] = []  # start, end, end with the full stop
+    anchors: list[int] = []
+    titles: list[int] = []
     lower: set[str] = set()  # words that stand in small letters somewhere in the text
+    particles = any(p in text for p in PARTICLES)
+    cached = register.words.get
     for m in TOKEN.finditer(text):
-        start, end = m.start(), m.start("dot")
-        if start and (text[start - 1].isalnum() or text[start - 1] == "-" and end - start == 1) or text[start:end] in ("VAN", "Van"):
+        start, raw = m.start(), m.group()
+        if start and text[start - 1].isalnum():
             continue
-        if text[start - 4 : start] in PARTICLES:
-            start -= 4
-        w = text[start:end]
-        bare = w.rstrip("'’")
-        if bare.lower() in TITLE_SET and len(bare) > 1 or (bare in ("M", "m") and m.group("dot")):
-            kind = "T" if len(bare) > 1 else "TI"
-        elif len(bare) == 1:
-            kind = "I" if m.group("dot") else ""
-        else:
-            kind = "W"
-        if len(w) > 4 and "-" in w and (b := BREAK.search(w)) and w[b.end() : b.end() + 1].isupper() and not w.isupper() and max(max(x) for x in register.likeness(w[: b.start()])) < 2:
-            start, w = start + b.end(), w[b.end() :]  # half a word of another column
-        tokens.append((start, end, m.end(), kind, w))
+        if particles and text[start - 4 : start] in PARTICLES:
+            start, raw = start - 4, text[start - 4 : start] + raw
+        w = cached(raw) or _word_of(register, raw)
+        if w.kind is None or w.kind != "W" and start and text[start - 1] == "-" and len(w.text) == 1:
+            continue
+        if w.best_family > 0.4:
+            anchors.append(len(tokens))
+        if w.kind == "T":
+            titles.append(len(tokens))
+        stop = m.end()
+        tokens.append((start + w.skip, stop - w.dot, stop, w))
     n = len(tokens)
-    like_of = [_likeness(register, t[4]) if t[3] == "W" else None for t in tokens]
-
-    title_of = [like[4] if like else (float(t[3] in ("T", "TI")), t[4].lower()) for t, like in zip(tokens, like_of)]
-    # beside a sure family name any word may stand, beside a faint one a title, an initial or a likely given name
-    beside = [t[3] in ("I", "T", "TI") or like is not None and like[2] >= LIKELY_GIVEN for t, like in zip(tokens, like_of)] + [False]
 
     def adjoins(i: int, j: int, comma: bool = False) -> bool:
         a, b = tokens[i], tokens[j]
-        at = a[2] if a[3] != "W" or title_of[i][0] else a[1]
-        between = text[at : b[0]]
+        between = text[a[2] if a[3].kind != "W" or a[3].title[0] else a[1] : b[0]]
         if between == " " and not comma:
             return True
         if comma:
             if not between.startswith(","):
                 return False
             between = between[1:]
-        return bool(INSIDE.fullmatch(between)) and len(between) < 12
+        return bool(INSIDE.fullmatch(between))
 
     def ordinary(i: int) -> bool:
         """Whether a faint given name is a title or family name, or an ordinary word."""
-        return title_of[i][0] > 0 or like_of[i][1][0] > 0 or small(i)
+        return tokens[i][3].title[0] > 0 or tokens[i][3].family[0] > 0 or small(i)
 
     def small(i: int) -> bool:
         """Whether a word that might be a misread title or given name stands in small letters too; asked for the labels only."""
         nonlocal lower
         if examples:
             lower = lower or set(LETTERS.findall(text)) or {""}
-        return tokens[i][4].lower() in lower
+        return tokens[i][3].text.lower() in lower
 
     # a word before a given name, or before what is no name at all, is not a given name itself (once a text)
     shown: set[str] = set()
     for k in range(1, n) if examples else ():
-        if tokens[k][3] == tokens[k - 1][3] == "W" and tokens[k - 1][4] not in shown and like_of[k - 1][2] < LIKELY_GIVEN and (like_of[k][0][0] or like_of[k][3] < 0.5) and adjoins(k - 1, k):
-            yield replace(_name(text, tokens[k - 1][0], tokens[k][1], NO_TITLE, 1, 0, like_of[k - 1][0], like_of[k][1], 0, tokens[k][4], 0.0, tokens[k - 1][4]), label=EXAMPLE)
-            shown.add(tokens[k - 1][4])
-
-    crossing = bool(TITLE_ENDS_LINE.search(text))
-    for k in range(n):
-        if tokens[k][3] != "W" or like_of[k][3] <= 0.4:
-            continue
-        family_k, best = like_of[k][1], like_of[k][3]
-        likely = beside[k - 1] or beside[k + 1] or crossing and best > 2.5 and text[tokens[k][0] - 1 : tokens[k][0]] in LINE_ENDS
-        if best >= 1 or best > 0.4 and likely and k and tokens[k - 1][3]:
+        a, b = tokens[k - 1][3], tokens[k][3]
+        if a.kind == b.kind == "W" and a.text not in shown and a.best_given < LIKELY_GIVEN and (b.given[0] or b.best_family < 0.5) and adjoins(k - 1, k):
+            yield replace(_name(text, tokens[k - 1][0], tokens[k][1], NO_TITLE, 1, 0, a.given, b.family, 0, b.text, 0.0, a.text), label=EXAMPLE)
+            shown.add(a.text)
+
+    crossed = {m.end(): tokens[k][3].text for k in titles if (m := CROSSED.match(text, tokens[k][2]))}
+    for k in anchors:
+        here, word = tokens[k][0], tokens[k][3]
+        family, best = word.family, word.best_family
+        # beside a sure family name any word may stand, beside a faint one a title, an initial or a likely given name
+        likely = k and tokens[k - 1][3].beside or k + 1 < n and tokens[k + 1][3].beside or best > 2.5 and here in crossed
+        if best >= 1 or likely and k and tokens[k - 1][3].kind:
             # words before: initials and given names, then perhaps a title
-            i, n_given, n_initial, given = k, 0, 0, (0.0, 0.0, 0.0)
-            spans = [(k, 0, 0, (0.0, 0.0, 0.0), "")]
+            i, n_given, n_initial, given = k, 0, 0, NOTHING
+            spans = [(k, 0, 0, NOTHING, "")]
             first_likely = k
-            while i and k - i < 4 and adjoins(i - 1, i):
-                kind, faint = tokens[i - 1][3], ""
-                if kind in ("I", "TI"):
+            while i and (k - i < 4 or tokens[i][3].best_family <= 0.4) and adjoins(i - 1, i):
+                before, faint = tokens[i - 1][3], ""
+                if before.kind in ("I", "TI"):
                     n_initial += 1
-                elif kind == "W":
-                    like = like_of[i - 1][0]
-                    if like_of[i - 1][2] < LIKELY_GIVEN:
+                elif before.kind == "W":
+                    like = before.given
+                    if before.best_given < LIKELY_GIVEN:
                         if best < 1 or n_given:
                             break
-                        faint, common = MISREAD if title_of[i - 1][0] else tokens[i - 1][4], ordinary(i - 1)
+                        faint, common = MISREAD if before.title[0] else before.text, ordinary(i - 1)
                     sure = not n_given or like[1] > 0
                     given = _weakest(given, like) if n_given else like
                     n_given += 1
@@ -511,38 +621,39 @@ def names(text: str, register: Register, examples: bool = False) -> Iterator[Can
                 spans.append((i, n_given, n_initial, given, faint))
                 if faint:  # the trees are to judge it; nothing is joined to it
                     break
-                if kind != "W" or sure:  # a further given name that the register lacks doesn't make the shorter span wrong
+                if before.kind != "W" or sure:  # a further given name that the register lacks doesn't make the shorter span wrong
                     first_likely = i
             for i, n_given, n_initial, given, faint in spans:
-                title = i > 0 and title_of[i - 1][0] > (0 if best >= 1 else 0.99) and adjoins(i - 1, i)  # misread ones before a sure name only
+                before = tokens[i - 1][3] if i else None
+                title = i > 0 and before.title[0] > (0 if best >= 1 else 0.99) and adjoins(i - 1, i)  # misread ones before a sure name only
                 if title or n_given or n_initial:
                     more = float(i > first_likely)
-                    yield _name(text, tokens[i][0], tokens[k][1], (tokens[i - 1][4], *title_of[i - 1]) if title else NO_TITLE, n_given, n_initial, given, family_k, 0, tokens[k][4], more, faint, bool(faint) and common or bool(title) and title_of[i - 1][0] < 1 and small(i - 1))
-            # a title at the end of the line before last: columns were read across each other
-            if crossing and likely and k and not (tokens[k - 1][3] and adjoins(k - 1, k)) and (m := CROSSED.search(text[max(0, tokens[k][0] - 160) : tokens[k][0]])):
-                yield _name(text, tokens[k][0], tokens[k][1], (m.group(1), 1.0, m.group(1).lower()), 0, 0, (0.0, 0.0, 0.0), family_k, 0, tokens[k][4])
+                    yield _name(text, tokens[i][0], tokens[k][1], (before.text, *before.title) if title else NO_TITLE, n_given, n_initial, given, family, 0, word.text, more, faint, bool(faint) and common or bool(title) and before.title[0] < 1 and small(i - 1))
+            if likely and k and here in crossed and not (tokens[k - 1][3].kind and adjoins(k - 1, k)):
+                yield _name(text, here, tokens[k][1], (crossed[here], 1.0, crossed[here].lower()), 0, 0, NOTHING, family, 0, word.text)
             # words after, with or without a comma
+            titled = k > 0 and tokens[k - 1][3].title[0] > (0 if best >= 1 else 0.99) and tokens[k - 1][3].kind != "TI" and adjoins(k - 1, k)
+            title = (tokens[k - 1][3].text, *tokens[k - 1][3].title) if titled else NO_TITLE
             for comma in (True, False):
-                j, n_given, n_initial, given, faint = k, 0, 0, (0.0, 0.0, 0.0), ""
-                while j + 1 < n and j - k < 3 and not faint and adjoins(j, j + 1, comma and j == k):
-                    kind = tokens[j + 1][3]
-                    if kind in ("I", "TI"):
+                j, n_given, n_initial, given, faint = k, 0, 0, NOTHING, ""
+                while j + 1 < n and (j - k < 3 or tokens[j][3].best_family <= 0.4) and not faint and adjoins(j, j + 1, comma and j == k):
+                    after = tokens[j + 1][3]
+                    if after.kind in ("I", "TI"):
                         n_initial += 1
                         end = tokens[j + 1][2]
-                    elif kind == "W":
-                        like = like_of[j + 1][0]
-                        if like_of[j + 1][2] < LIKELY_GIVEN:
+                    elif after.kind == "W":
+                        like = after.given
+                        if after.best_given < LIKELY_GIVEN:
                             if best < 1 or n_given:
                                 break
-                            faint, common = MISREAD if title_of[j + 1][0] else tokens[j + 1][4], ordinary(j + 1)
+                            faint, common = MISREAD if after.title[0] else after.text, ordinary(j + 1)
                         given = _weakest(given, like) if n_given else like
                         n_given += 1
                         end = tokens[j + 1][1]
                     else:
                         break
                     j += 1
-                    title = k > 0 and title_of[k - 1][0] > (0 if best >= 1 else 0.99) and tokens[k - 1][3] != "TI" and adjoins(k - 1, k)
-                    yield _name(text, tokens[k][0], end, (tokens[k - 1][4], *title_of[k - 1]) if title else NO_TITLE, n_given, n_initial, given, family_k, 1 + comma, tokens[k][4], 0.0, faint, bool(faint) and common)
+                    yield _name(text, here, end, title, n_given, n_initial, given, family, 1 + comma, word.text, 0.0, faint, bool(faint) and common)
 
 
 #: No title: what is written, how surely it is one, which it is. The hint of a misread one that is tried as a given name.
@@ -607,4 +718,5 @@ def candidates(text: str | None, register: Register, examples: bool = False) ->
     """
     if not text:
         return []
-    return [*emails(text), *numbers(text), *addresses(text), *names(text, register, examples)]
+    backwards = text[::-1]
+    return [*emails(text, backwards), *numbers(text), *addresses(text, backwards), *names(text, register, examples)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -213,16 +214,21 @@ def scan(df: DataFrame, register: DataFrame, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         register, models = shared.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                texts = b.column(1).to_pylist()
-                found = find(texts, models, register)
-                spans = pa.array([[{"kind": c.kind, "start_pos": c.start, "end_pos": c.end} for c in f] for f in found], span)
-                columns = [b.column(0), spans]
-                if redacted:
-                    columns.append(pa.array([None if t is None else redact(t, f) for t, f in zip(texts, found)], pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "spans", "text"][: len(columns)])
+        gc.disable()  # millions of small tuples and no cycles: within a batch nothing needs collecting
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    b = whole.slice(at, 1024)
+                    texts = b.column(1).to_pylist()
+                    found = find(texts, models, register)
+                    spans = pa.array([[{"kind": c.kind, "start_pos": c.start, "end_pos": c.end} for c in f] for f in found], span)
+                    columns = [b.column(0), spans]
+                    if redacted:
+                        columns.append(pa.array([None if t is None else redact(t, f) for t, f in zip(texts, found)], pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "spans", "text"][: len(columns)])
+                gc.collect()
+        finally:
+            gc.enable()
 
     return _documents(df, id_col, text_col).mapInArrow(run, f"doc_id long, spans array<struct<{SPAN.replace(' ', ':').replace(',:', ',')}>>" + (", text string" if redacted else ""))
 

@@ -163,6 +163,7 @@ def emails(text: str, backwards: str | None = None) -> Iterator[Candidate]:
 
 DIGIT = r"[0-9]|[OolI|!SZBbGg�'](?![a-z]|[A-Z]{2})"
 GROUP = re.compile(r"[0-9](?:[0-9OolI|!SZBbGg�'](?![a-z]{2}))*|[OolI|SZB](?=[0-9])[0-9OolI|!SZB]*")
+SIX = re.compile(r"(?:[^0-9OolI|!SZBbGg�']*+[0-9OolI|!SZBbGg�']){6}")
 NUMBERS = re.compile(
     r"(?<![\w£$€.,:/\-])(?:[A-Z]{2}(?:[-\s]{0,2}(?=\d)|(?=[OolISZB|]\d))|(?:[A-Z]{3}|[A-Z])[- ]?(?=\d))?[+(]?\s?"
     + rf"(?:[0-9OolI|SZB](?=[0-9 )\-./OolI|SZB!])|[0-9])(?:{DIGIT}|[ \t\xa0./)(\-–]|\s(?=[\d(]))*"
@@ -193,7 +194,7 @@ def numbers(text: str) -> Iterator[Candidate]:
     """
     for m in NUMBERS.finditer(text):
         run, base = m.group(), m.start()
-        if len(run) < 6:
+        if not SIX.match(run):
             continue
         groups = [g.span() for g in GROUP.finditer(run)]
         if sum(b - a for a, b in groups) < 6:

@@ -9,9 +9,27 @@ from pyspark.sql import functions as F
 from siltstone.session import settle
 
 
+#: Bytes that a range is meant to hold.
+RANGE_BYTES = 256 << 20
+#: From this size on, the optimizer's figure only says that it knows none.
+UNKNOWN_BYTES = 1 << 60
+
+
+def range_count(df: DataFrame) -> int:
+    """Ranges for a table: the session's shuffle partitions, or one for each ``RANGE_BYTES`` if that is more.
+
+    The size is the optimizer's own; behind a join it is no estimate but a bound
+    (the product of both sides), so there the session's number stands.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    known = "Join " not in plan.toString() and size < UNKNOWN_BYTES
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES) if known else 1)
+
+
 def ordered_parts(df: DataFrame, order: list[Column]) -> DataFrame:
     """Rows placed in sorted ranges, with the range as ``_part``; written once, so that all readers agree."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = range_count(df)
     return settle(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()), "ordered")
 
 

@@ -34,7 +34,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records that small live planned files hold, from the consolidated files."""
     chosen = compactor.small_files(*(table(spark, sf_dir, x) for x in ("compaction_state", "file_meta", "version_edit")))
-    return compactor.consolidate(spark, f"{sf_dir}/sst_entry.parquet", chosen).select("seq").distinct()
+    return compactor.consolidate(spark, f"{sf_dir}/sst_entry.parquet", chosen).select("seq")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import datetime as dt
 import os
+import random
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from siltstone.operators import incremental, orphans
@@ -79,10 +81,10 @@ def write_files(spark, path, parts, schema):
 
 
 class TestUpserts:
-    def run(self, spark, tmp, entries, batches, files=1):
+    def run(self, spark, tmp, entries, batches, rounds=5):
         log = write_files(spark, f"{tmp}/log", entries, ENTRY)
         wire = write_files(spark, f"{tmp}/wire", batches, "batch_id long, base_seq long, n_ops int, data array<struct<key: binary, value: binary, seq: long, op: int>>")
-        table = upserts.rebuild(spark, log, wire, files)
+        table = upserts.rebuild(spark, log, wire, rounds)
         return {bytes(r.key): (r.seq, r.value) for r in upserts.live_rows(table).collect()}
 
     def test_repeats_disorder_and_deletes(self, spark, tmp_path):
@@ -101,23 +103,57 @@ class TestUpserts:
     def test_tie_prefers_the_put(self, spark, tmp_path):
         assert self.run(spark, tmp_path, [[(b"a", 1, 0, None, None, None), (b"a", 1, 1, b"v", None, None)]], [[]]) == {b"a": (1, b"v")}
 
-    def test_goes_on_and_a_retry_replaces(self, spark, tmp_path):
-        schema = CHANGE
-        path = write_files(spark, f"{tmp_path}/in", [[(b"a", 1, 1, b"1"), (b"b", 2, 1, b"2")]], schema)
-        out, checkpoint = f"{tmp_path}/out", f"{tmp_path}/checkpoint"
-        run = lambda: upserts.apply_changes(upserts.entry_changes(upserts.file_stream(spark, path, 1)), out, checkpoint)
-        run()
-        write_files(spark, path, [[(b"a", 5, 0, None), (b"b", 1, 1, b"old")]], schema)
-        run()
-        state = lambda: {bytes(r.key): (r.seq, r.op) for r in upserts.current_table(spark, out).collect()}
+    @pytest.mark.parametrize("rounds", [1, 4])
+    def test_any_number_of_micro_batches(self, spark, tmp_path, rounds):
+        rng = random.Random(rounds)
+        entries = [[(rng.choice([b"hot", bytes([rng.randrange(30)])]), s, rng.randrange(2), bytes([s % 251]), None, None) for s in rng.choices(range(500), k=60)] for _ in range(8)]
+        seen = {}
+        entries = [[seen.setdefault(e[1], e) for e in part] for part in entries]  # one change a number
+        newest = {}
+        for e in sorted((e for part in entries for e in part), key=lambda e: e[1]):
+            newest[e[0]] = e
+        assert self.run(spark, tmp_path, entries, [[]], rounds) == {k: (e[1], e[3]) for k, e in newest.items() if e[2] == 1}
+
+    def stream(self, spark, tmp, path, checkpoint="checkpoint"):
+        table = upserts.UpsertTable(spark, f"{tmp}/table")
+        upserts.apply_changes(upserts.entry_changes(upserts.file_stream(spark, path, 1)), table, f"{tmp}/{checkpoint}")
+        return table
+
+    def test_only_newer_changes_come_out(self, spark, tmp_path):
+        path = write_files(spark, f"{tmp_path}/in", [[(b"a", 5, 1, b"1"), (b"b", 2, 1, b"2")]], CHANGE)
+        table = self.stream(spark, tmp_path, path)
+        write_files(spark, path, [[(b"a", 4, 1, b"late"), (b"a", 5, 1, b"1"), (b"b", 3, 0, None)]], CHANGE)
+        self.stream(spark, tmp_path, path)
+        (last,) = [x for x in table.versions.read()["deltas"] if x.startswith("batch=1-")]
+        assert [(bytes(r.key), r.seq) for r in spark.read.parquet(f"{tmp_path}/table/data/{last}").collect()] == [(b"b", 3)]
+        assert {bytes(r.key): (r.seq, r.op) for r in table.read().collect()} == {b"a": (5, 1), b"b": (3, 0)}
+        table.fold()
+        assert not table.versions.read()["deltas"] and {bytes(r.key): r.seq for r in table.read().collect()} == {b"a": 5, b"b": 3}
+
+    def test_a_retry_replaces_and_a_lost_checkpoint_is_refused(self, spark, tmp_path):
+        path = write_files(spark, f"{tmp_path}/in", [[(b"a", 1, 1, b"1"), (b"b", 2, 1, b"2")]], CHANGE)
+        self.stream(spark, tmp_path, path)
+        write_files(spark, path, [[(b"a", 5, 0, None), (b"b", 1, 1, b"old")]], CHANGE)
+        table = self.stream(spark, tmp_path, path)
+        state = lambda: {bytes(r.key): (r.seq, r.op) for r in table.read().collect()}
         assert state() == {b"a": (5, 0), b"b": (2, 1)}
-        # the last micro-batch is run again, as after a crash before its commit
-        last = max(int(n) for n in os.listdir(f"{checkpoint}/commits") if n.isdigit())
-        os.remove(f"{checkpoint}/commits/{last}")
-        if os.path.exists(crc := f"{checkpoint}/commits/.{last}.crc"):
-            os.remove(crc)
-        run()
+        repeat_last_batch(f"{tmp_path}/checkpoint")
+        self.stream(spark, tmp_path, path)
         assert state() == {b"a": (5, 0), b"b": (2, 1)}
+        write_files(spark, path, [[(b"c", 9, 1, b"new")]], CHANGE)
+        with pytest.raises(StreamingQueryException):
+            self.stream(spark, tmp_path, path, "another")
+        assert state() == {b"a": (5, 0), b"b": (2, 1)}
+        self.stream(spark, tmp_path, path)
+        assert state() == {b"a": (5, 0), b"b": (2, 1), b"c": (9, 1)}
+
+
+def repeat_last_batch(checkpoint):
+    """The last micro-batch will be run again, as after a crash before its commit."""
+    last = max(int(n) for n in os.listdir(f"{checkpoint}/commits") if n.isdigit())
+    os.remove(f"{checkpoint}/commits/{last}")
+    if os.path.exists(crc := f"{checkpoint}/commits/.{last}.crc"):
+        os.remove(crc)
 
 
 class TestCompactor:
@@ -131,7 +167,8 @@ class TestCompactor:
         schema = "number long, key binary, seq long, op int, extra string"
         parts = [[(n, bytes([k]), k * 10, 1, "x") for k in range(n, n + 6)] for n in range(8)] + [[(9, None, 3, 1, "x")]]
         path = write_files(spark, f"{tmp_path}/in", parts, schema)
-        got = compactor.consolidate(spark, path, spark.createDataFrame([(n,) for n in range(0, 8, 2)], "number long"), files_per_batch=2)
+        got = compactor.consolidate(spark, path, spark.createDataFrame([(n,) for n in range(0, 8, 2)], "number long"), rounds=4)
+        assert got.count() == got.distinct().count()
         want = sorted({k for n in range(0, 8, 2) for k in range(n, n + 6)})
         assert sorted(bytes(r.key)[0] for r in got.collect()) == want
 
@@ -150,6 +187,22 @@ class TestCompactor:
         assert sorted(-1 if r.id is None else r.id for r in run().collect()) == [-1, 0, 1, 2, 3, 4, 5, 6, 50]
         files = [f for _, _, names in os.walk(out) for f in names if f.endswith(".parquet")]
         assert len(files) < 8
+        repeat_last_batch(f"{tmp_path}/checkpoint")
+        assert run().count() == 9
+
+    def test_nulls_and_repeats_in_later_batches(self, spark, tmp_path):
+        parts = [[(None, "n"), (1, "a")], [(1, "a"), (2, "b")], [(None, "n"), (900, "z")], [(None, "m"), (2, "b")], [(None, None)], [(None, None)]]
+        path = write_files(spark, f"{tmp_path}/in", parts, "id long, body string")
+        got = compactor.compact_directory(spark, path, ["id", "body"], ["id"], f"{tmp_path}/out", f"{tmp_path}/checkpoint", files_per_batch=1)
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted({r for p in parts for r in p}, key=repr)
+
+    def test_another_checkpoint_is_refused(self, spark, tmp_path):
+        path = write_files(spark, f"{tmp_path}/in", [[(1, "a")]], "id long, body string")
+        run = lambda c: compactor.compact_directory(spark, path, ["id"], ["id"], f"{tmp_path}/out", f"{tmp_path}/{c}")
+        run("one")
+        with pytest.raises(StreamingQueryException):
+            run("two")
+        assert run("one").count() == 1
 
 
 class TestIncremental:
@@ -171,28 +224,59 @@ class TestIncremental:
     def test_replay(self, spark, slices):
         records = [(s, s // 7 * 3 + 2) for s in range(300)] + [(5, 900), (6, None), (299, None), (None, 4), (400, None), (401, 10_000)] + [(1000 + s, 50) for s in range(300)]
         edits = [(1, "committed", 5), (2, "torn", 60), (3, "committed", 40), (3, "committed", 40), (4, "committed", 20), (5, "committed", None), (6, None, 90), (7, "committed", 90), (9, "committed", 121), (None, "committed", 99)]
-        source = spark.createDataFrame(records, "seq long, log_number long").withColumn("edit_id", F.lit("clash"))
+        source = self.source(spark, records).withColumn("edit_id", F.lit("clash"))
         got = incremental.replay_runs(spark, scratch(spark, "t"), source, spark.createDataFrame(edits, "edit_id long, state string, log_number long"), slices)
         rows = [tuple(r) for r in got.collect()]
         assert len(rows) == len(set(rows)) and set(rows) == self.want(records, edits)
 
     @pytest.mark.parametrize("records,edits", [([], [(1, "committed", 5)]), ([(1, 2)], []), ([(1, 2)], [(1, "torn", 9)])])
     def test_empty(self, spark, records, edits):
-        got = incremental.replay_runs(spark, scratch(spark, "t"), spark.createDataFrame(records, "seq long, log_number long"), spark.createDataFrame(edits, "edit_id long, state string, log_number long"))
+        got = incremental.replay_runs(spark, scratch(spark, "t"), self.source(spark, records), spark.createDataFrame(edits, "edit_id long, state string, log_number long"))
         assert got.count() == 0
 
-    def test_failed_run_leaves_nothing(self, spark):
-        target = incremental.IncrementalTarget(spark, scratch(spark, "t"), ["id"])
-        source = spark.range(10)
-        target.write(target.pending(source.filter("id < 5")), "died")  # never published
-        assert target.run(source.filter("id < 5"), "second") == 1
-        assert target.run(source, "third") == 2
+    def source(self, spark, records):
+        return spark.createDataFrame(records, "seq long, log_number long").withColumns({"key": F.lit(b"k"), "op": F.lit(1), "value": F.lit(b"v")})
+
+    def test_the_anti_join_decides(self, spark, monkeypatch):
+        records, edits = [(s, s) for s in range(40)], [(i, "committed", 10 * i) for i in range(1, 5)]
+        run = lambda: incremental.replay_runs(spark, scratch(spark, "t"), self.source(spark, records), spark.createDataFrame(edits, "edit_id long, state string, log_number long")).count()
+        assert run() == 40
+        monkeypatch.setattr(incremental.IncrementalTarget, "pending", lambda self, source, version=None: source)
+        assert run() > 40
+
+    def test_replaying_a_path_again_adds_nothing(self, spark):
+        path, edits = scratch(spark, "t"), spark.createDataFrame([(1, "committed", 5), (2, "committed", 30)], "edit_id long, state string, log_number long")
+        for n in (20, 25):
+            got = incremental.replay_runs(spark, path, self.source(spark, [(s, s) for s in range(n)]), edits)
+            assert sorted(r.seq for r in got.collect()) == list(range(n))
+
+    def target(self, spark):
+        return incremental.IncrementalTarget(spark, scratch(spark, "t"), ["id"], "v")
+
+    def test_failed_and_repeated_runs(self, spark):
+        target, source = self.target(spark), spark.range(10).withColumn("v", F.lit(1))
+        target.write(target.pending(source.filter("id < 5")), 0)  # died before it was published
+        assert target.run(source.filter("id < 5")) == 1
+        attempt = target.write(target.pending(source), 1)
+        target.publish(attempt, 1)  # died right after; the run is repeated
+        with pytest.raises(ValueError):
+            target.publish(attempt, 2)
+        target.run(source)
         assert sorted(r.id for r in target.read("id long").collect()) == list(range(10))
         assert target.pending(source).count() == 0
 
+    def test_changed_records_are_taken_again(self, spark):
+        target = self.target(spark)
+        rows = lambda *x: spark.createDataFrame(list(x), "id long, v long")
+        target.run(rows((1, 1), (2, 1), (None, 1)))
+        target.run(rows((1, 1), (2, 2), (None, 1), (3, None)))
+        target.run(rows((3, None)))
+        assert sorted(map(tuple, target.read("id long, v long").collect()), key=repr) == sorted([(1, 1), (2, 1), (2, 2), (3, None), (None, 1)], key=repr)
+
     def test_two_runs_on_one_base(self, spark):
-        target = incremental.IncrementalTarget(spark, scratch(spark, "t"), ["id"])
-        a, b = target.write(spark.range(3), "a"), target.write(spark.range(3), "b")
+        target = self.target(spark)
+        rows = spark.range(3).withColumn("v", F.lit(1))
+        a, b = target.write(rows, 0), target.write(rows, 0)
         target.publish(a, 0)
         with pytest.raises(RuntimeError):
             target.publish(b, 0)

@@ -6,8 +6,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +17,12 @@ TARGET_FP = 0.01
 BLOCK_BITS = 512
 #: Distinct keys that one filter is meant to hold: 2 to 3 MB of bits at the target.
 KEYS_PER_FILTER = 2_000_000
+#: Filters that a task fills one after the other, at least; only one is in memory.
+FILTERS_A_TASK = 4
+#: A key is remembered by a task while it holds more than so large a share of an Arrow batch, and the most keys remembered.
+OFTEN, REMEMBERED = 0.01, 1000
+#: What a row is: an earlier key, an arrival, a known absent key, or an arrival that repeats one of its own task.
+EARLIER, ARRIVAL, ABSENT, REPEAT = 0, 1, 2, 3
 
 
 def filter_shape(n_keys: int, target_fp: float = TARGET_FP) -> tuple[int, int]:
@@ -76,103 +82,172 @@ class BlockedBloom:
         return seen
 
 
-def first_arrivals(earlier: DataFrame, incoming: DataFrame) -> DataFrame:
-    """``key, first_id``: each distinct key once, ``first_id`` null for the keys of ``earlier``.
+def _thin_earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each key once a batch, and a frequent one once a task."""
+    often: set[bytes] = set()
+    for b in batches:
+        counts = pc.value_counts(b.column(0))
+        keys, n = counts.field("values"), counts.field("counts")
+        frequent = keys.filter(pc.greater(n, b.num_rows * OFTEN)).to_pylist()
+        if often:
+            keys = keys.filter(pc.invert(pc.is_in(keys, pa.array(list(often), keys.type))))
+        often = often | set(frequent) if len(often) < REMEMBERED else set(frequent)
+        m = len(keys)
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(m, EARLIER, np.int32)), keys.cast(pa.binary()), pa.nulls(m, pa.int64())], ["phase", "key", "id"])
+
+
+def _thin_incoming(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each key in a batch the first arrival; later ones have been seen, since this very task holds an earlier row of equal key."""
+    often: dict[bytes, int] = {}
+    top = np.iinfo(np.int64).max
+    for b in batches:
+        coded = b.column(0).dictionary_encode()
+        at, keys = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+        ids = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+        first = np.full(len(keys), top)
+        np.minimum.at(first, at, ids)
+        before = np.full(len(keys), top)
+        if often:
+            known = pc.index_in(keys, pa.array(list(often), keys.type)).to_numpy(zero_copy_only=False)
+            there = ~np.isnan(known.astype(np.float64))
+            before[there] = np.array(list(often.values()))[known[there].astype(np.int64)]
+        new = np.flatnonzero(first < before)
+        least = np.minimum(first, before)
+        repeats = ids[ids > least[at]]
+        counts = np.bincount(at, minlength=len(keys))
+        frequent = np.flatnonzero(counts > b.num_rows * OFTEN)
+        often = often if len(often) < REMEMBERED else {}
+        often.update(zip(keys.take(pa.array(frequent)).to_pylist(), least[frequent].tolist()))
+        phase = np.repeat(np.array([ARRIVAL, REPEAT], np.int32), [len(new), len(repeats)])
+        key = pa.concat_arrays([keys.take(pa.array(new)).cast(pa.binary()), pa.nulls(len(repeats), pa.binary())])
+        yield pa.RecordBatch.from_arrays([pa.array(phase), key, pa.array(np.concatenate([first[new], repeats]))], ["phase", "key", "id"])
+
+
+def keyed_rows(earlier: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``phase, key, id`` of all rows with a key, without the repeats that a task sees by itself.
+
+    Nothing is grouped and nothing moves: a task drops repeats within an Arrow
+    batch and of the few keys that are frequent in it, so that a key with a third
+    of all rows comes to about a row a task, and passes all else on. Arrivals that
+    repeat an earlier one of their task are answered by that (``REPEAT``, without
+    key). Rows without a key or an ``incoming_id`` are left out; a row that comes
+    twice under the same id repeats nothing.
+    """
+    shape = "phase int, key binary, id long"
+    old = earlier.filter("key is not null").select(F.col("key").cast("binary").alias("key")).mapInArrow(_thin_earlier, shape)
+    new = incoming.filter("key is not null and incoming_id is not null").select(F.col("key").cast("binary").alias("key"), F.col("incoming_id").cast("long").alias("id"))
+    return old.unionByName(new.mapInArrow(_thin_incoming, shape))
+
+
+def layout(n_keys: int, tasks: int, keys_per_filter: int = KEYS_PER_FILTER) -> tuple[int, int]:
+    """Number of filters, and the keys each is sized for.
 
-    ``first_id`` is the smallest ``incoming_id`` of the key. A key that ``earlier``
-    holds and that comes in has two rows. Null keys are left out. The grouping
-    runs before the shuffle too, so a key that holds a third of the rows is one
-    row a task.
+    ``n_keys`` is an estimate good to a few per cent. Keys fall on filters by
+    hash; the allowance is a twentieth for the estimate and six standard
+    deviations for the fall.
     """
-    old = earlier.filter("key is not null").select("key").distinct().withColumn("first_id", F.lit(None).cast("long"))
-    new = (
-        incoming.filter("key is not null and incoming_id is not null")
-        .groupBy("key")
-        .agg(F.min(F.col("incoming_id").cast("long")).alias("first_id"))
-    )
-    return old.unionByName(new)
+    n = max(FILTERS_A_TASK * tasks, math.ceil(n_keys / keys_per_filter))
+    mean = max(1.0, 1.05 * n_keys / n)
+    return n, math.ceil(mean + 6 * math.sqrt(mean))
 
 
-def bloom_answers(firsts: DataFrame, n_filters: int, keys_per_filter: int, target_fp: float = TARGET_FP, absent: DataFrame | None = None) -> DataFrame:
-    """``kind, key, first_id, seen``: what the filters answer for each first arrival.
+def bloom_answers(rows: DataFrame, absent: DataFrame | None = None, target_fp: float = TARGET_FP, keys_per_filter: int | None = None) -> DataFrame:
+    """``phase, key, id, seen``: what the filters answer for each arrival and each known absent key.
 
-    Keys are partitioned by hash; every partition fills one blocked filter with
-    the earlier keys and then, in the order of ``first_id``, queries and inserts
-    each new one. Later arrivals of a key need no query: a Bloom filter that
-    holds a key always says so. ``absent``: known absent keys (column ``key``),
-    queried at the end and never inserted; their rows have ``kind`` 'absent'.
-    Only bits and one Arrow batch are in memory.
+    ``rows``: :func:`keyed_rows`, read twice, so best a written table. Its keys
+    are counted by a sketch to size the filters. Keys go to filters by hash, many
+    filters to a task, which fills one after the other: first with the earlier
+    keys, then every arrival is queried and inserted in the order of ``id``.
+    ``absent``: keys (column ``key``) that are queried at the end and never
+    inserted. Only the bits of one filter and one Arrow batch are in memory.
     """
-    rows = firsts.select(F.when(F.col("first_id").isNull(), 0).otherwise(1).alias("phase"), "key", "first_id")
+    spark = rows.sparkSession
+    asked = rows.filter(F.col("phase") != REPEAT)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_filters, per_filter = layout(asked.agg(F.approx_count_distinct("key", 0.01)).first()[0], tasks)
+    per_filter = keys_per_filter or per_filter
     if absent is not None:
-        rows = rows.unionByName(absent.select(F.lit(2).alias("phase"), "key", F.lit(None).cast("long").alias("first_id")))
-    hashed = rows.select("phase", "key", "first_id", F.xxhash64("key").alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"))
-    placed = hashed.repartition(n_filters, "h1").sortWithinPartitions("phase", "first_id")
+        asked = asked.unionByName(absent.select(F.lit(ABSENT).alias("phase"), "key", F.lit(None).cast("long").alias("id")))
+    h1 = F.xxhash64("key")
+    hashed = asked.select("phase", "key", "id", h1.alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"), (h1.bitwiseAND(F.lit(0xFFFFFFFF)) % n_filters).cast("int").alias("filter_no"))
+    placed = hashed.repartitionById(tasks, F.col("filter_no") % tasks).sortWithinPartitions("filter_no", "phase", "id")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom = None
+        current, bloom = None, None
         for b in batches:
-            bloom = bloom or BlockedBloom(keys_per_filter, target_fp)
-            phase, h1, h2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("phase", "h1", "h2"))
-            h1, h2 = h1.astype(np.int64), h2.astype(np.int64)
-            seen = np.zeros(len(phase), bool)
-            old, new, probe = phase == 0, phase == 1, phase == 2
-            bloom.insert(h1[old], h2[old])
-            seen[new] = bloom.query_then_insert(h1[new], h2[new])
-            seen[probe] = bloom.contains(h1[probe], h2[probe])
-            kept = pa.array(~old)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("phase").cast(pa.int32()), b.column("key").cast(pa.binary()), b.column("first_id"), pa.array(seen)], ["phase", "key", "first_id", "seen"]
-            ).filter(kept)
-
-    out = placed.mapInArrow(decide, "phase int, key binary, first_id long, seen boolean")
-    return out.select(F.when(F.col("phase") == 2, "absent").otherwise("incoming").alias("kind"), "key", "first_id", "seen")
-
-
-def layout(n_keys: int, keys_per_filter: int = KEYS_PER_FILTER, least: int = 8) -> tuple[int, int]:
-    """Number of filters, and the keys each is sized for.
-
-    Keys fall on filters by hash; the allowance is six standard deviations.
+            phase, h1, h2, number = (b.column(c).to_numpy(zero_copy_only=False) for c in ("phase", "h1", "h2", "filter_no"))
+            seen = np.zeros(b.num_rows, bool)
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), b.num_rows]
+            for low, high in zip(cuts, cuts[1:]):
+                if high == low:
+                    continue
+                if number[low] != current:
+                    current, bloom = number[low], BlockedBloom(per_filter, target_fp)
+                old, new = low + np.searchsorted(phase[low:high], [ARRIVAL, ABSENT])
+                bloom.insert(h1[low:old], h2[low:old])
+                seen[old:new] = bloom.query_then_insert(h1[old:new], h2[old:new])
+                seen[new:high] = bloom.contains(h1[new:high], h2[new:high])
+            yield pa.RecordBatch.from_arrays([b.column("phase"), b.column("key").cast(pa.binary()), b.column("id"), pa.array(seen)], ["phase", "key", "id", "seen"]).filter(pa.array(phase != EARLIER))
+
+    return placed.mapInArrow(decide, "phase int, key binary, id long, seen boolean")
+
+
+def verified(rows: DataFrame, answers: DataFrame) -> DataFrame:
+    """``key, id`` of the arrivals that the filters rightly claim to have seen.
+
+    Only claimed keys are looked up: the rows of those keys are cut out by a
+    semi-join and reduced to whether the key is an earlier one and to its first
+    arrival, partly before they move.
     """
-    n = max(least, math.ceil(n_keys / keys_per_filter))
-    mean = max(1.0, n_keys / n)
-    return n, math.ceil(mean + 6 * math.sqrt(mean))
+    claimed = answers.filter((F.col("phase") == ARRIVAL) & F.col("seen")).select("key", "id")
+    evidence = (
+        rows.filter(F.col("phase") != REPEAT)
+        .join(claimed.select("key").distinct(), "key", "left_semi")
+        .groupBy("key")
+        .agg(F.max((F.col("phase") == EARLIER).cast("int")).alias("old"), F.min("id").alias("first"))
+    )
+    return claimed.join(evidence, "key").filter("old = 1 or first < id").select("key", "id")
 
 
-def seen_before(earlier: DataFrame, incoming: DataFrame, firsts: DataFrame, answers: DataFrame) -> DataFrame:
+def seen_before(rows: DataFrame, answers: DataFrame) -> DataFrame:
     """``incoming_id`` of each row whose key occurred before, exactly.
 
-    The filters answer first. A first arrival they don't know is new for certain
-    and needs no further look; the keys they claim to know are checked against
-    ``earlier`` by an equality join, which removes the wrong answers. All arrivals
-    after the first of their key are seen. The result is all rows with a key
-    minus the new first arrivals, joined on the unique ``incoming_id``, so no
-    join has a hot key.
+    A filter that denies a key is right: such an arrival is new. What the filters
+    claim is checked, and what a task found to repeat its own rows is added.
     """
-    arrivals = answers.filter("kind = 'incoming'")
-    claimed = arrivals.filter("seen").select("key", "first_id")
-    known = firsts.filter("first_id is null").select("key")
-    wrong = claimed.join(known, "key", "left_anti").select("first_id")
-    new = arrivals.filter("not seen").select("first_id").unionByName(wrong).withColumnRenamed("first_id", "incoming_id")
-    ids = incoming.filter("key is not null and incoming_id is not null").select(F.col("incoming_id").cast("long").alias("incoming_id")).distinct()
-    return ids.join(new, "incoming_id", "left_anti")
+    repeats = rows.filter(F.col("phase") == REPEAT).select("id")
+    return verified(rows, answers).select("id").unionByName(repeats).select(F.col("id").alias("incoming_id")).distinct()
 
 
-def absent_keys(firsts: DataFrame) -> DataFrame:
+def absent_keys(rows: DataFrame) -> DataFrame:
     """Keys that occur in no row: each real key with a byte appended.
 
     They resemble the real ones; the few that exist are removed by an anti-join.
     There are about as many as distinct keys, so the error is measured over all
     parts of all filters.
     """
-    keys = firsts.select("key").distinct()
+    keys = rows.filter("key is not null").select("key").distinct()
     return keys.select(F.concat("key", F.unhex(F.lit("FF"))).alias("key")).join(keys, "key", "left_anti")
 
 
-def error_rate(answers: DataFrame, target_fp: float = TARGET_FP) -> DataFrame:
-    """Measured wrong answers on the known absent keys, in one row.
+def error_rate(rows: DataFrame, answers: DataFrame, target_fp: float = TARGET_FP) -> DataFrame:
+    """Measured wrong answers, in one row.
 
-    ``rate`` is null if there were none to measure.
+    ``n_probes``, ``n_wrong``, ``rate``: known absent keys that were taken for seen
+    ones; ``n_new``, ``n_new_wrong``, ``new_rate``: the same of the arrivals that
+    were in truth the first of their key. A rate is null if there was nothing to
+    measure.
     """
-    probes = answers.filter("kind = 'absent'").agg(F.count("*").alias("n_probes"), F.count(F.when(F.col("seen"), 1)).alias("n_wrong"))
-    return probes.select("n_probes", "n_wrong", F.expr("try_divide(n_wrong, n_probes)").alias("rate"), F.lit(float(target_fp)).alias("target_rate"))
+    claims = F.coalesce(F.col("seen").cast("long"), F.lit(0).cast("long"))
+    told = answers.select((F.col("phase") == ABSENT).alias("absent"), claims.alias("claim"), F.lit(0).alias("right"))
+    both = told.unionByName(verified(rows, answers).select(F.lit(False).alias("absent"), F.lit(0).cast("long").alias("claim"), F.lit(1).alias("right")))
+    total = lambda of, when: F.coalesce(F.sum(F.when(when, of)), F.lit(0))
+    absent, right = F.col("absent"), F.col("right")
+    sums = both.agg(
+        total(F.lit(1), absent).alias("n_probes"), total(F.col("claim"), absent).alias("n_wrong"),
+        total(F.when(right == 1, -1).otherwise(1), ~absent).alias("n_new"), total(F.col("claim") - right, ~absent).alias("n_new_wrong"),
+    )
+    return sums.select(
+        "n_probes", "n_wrong", F.expr("try_divide(n_wrong, n_probes)").alias("rate"),
+        "n_new", "n_new_wrong", F.expr("try_divide(n_new_wrong, n_new)").alias("new_rate"), F.lit(float(target_fp)).alias("target_rate"),
+    )

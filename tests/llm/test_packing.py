@@ -27,7 +27,40 @@ def test_little_space_is_left():
     h = Counter(lengths(20_000, 9))
     used = sum(k * v for k, v in h.items())
     boxes = sum(g.n for g in packing.plan(dict(h)))
-    assert boxes <= -(-used // 2048) + 2
+    assert boxes <= -(-used // 2048) * 1.002 + 1
+
+
+def test_tiers_are_packed_apart_and_long_gaps_filled_from_shorter_ones():
+    h = dict(Counter(lengths(3000, 4)))
+    plans = {t: sorted((g.n, sorted(g.pattern)) for g in packing.plan(h, tiers=t)) for t in ((256, 512, 1024, 2048), (2048,), (7, 900, 2048))}
+    assert len({repr(p) for p in plans.values()}) == 3
+    own = packing.pack_tier({700: 5, 600: 4}, 1024, 2048)
+    assert {x for g in own for x, _ in g.pattern} == {700, 600} and all(g.tier == 1024 for g in own)
+    shorter = {200: 3, 30: 50}
+    filled = packing.fill_gaps([packing.Group(2, 448, 2048, [(1600, 1)])], shorter)
+    assert sum(g.n for g in filled) == 2 and all(g.gap < 30 for g in filled) and shorter.get(200, 0) == 0
+    for g in packing.plan(h):
+        tiers = [packing.tier_of(x, packing.TIERS) for x, _ in g.pattern]
+        assert g.tier == max(tiers) and tiers == sorted(tiers, reverse=True)
+
+
+def test_tiers_have_to_reach_the_capacity():
+    for bad in ((), (256, 512)):
+        with pytest.raises(ValueError):
+            packing.plan({5: 1}, tiers=bad)
+
+
+def test_check_finds_broken_packings(spark):
+    sized = spark.createDataFrame([(1, 2000), (2, 48), (3, 0)], "doc_id long, n_tokens long")
+    shape = "doc_id long, piece long, n_tokens long, container long, start long"
+    report = lambda rows: {r.rule: r.n_broken for r in packing.violations(sized, spark.createDataFrame(rows, shape)).collect()}
+    good = [(1, 0, 2000, 0, 0), (2, 0, 48, 0, 2000), (3, 0, 0, None, None)]
+    assert set(report(good).values()) == {0}
+    assert report([(1, 0, 2000, 0, 0), (2, 0, 48, 0, 1990), (3, 0, 0, None, None)])["contiguity"] == 1
+    assert report([(1, 0, 2000, 0, 0), (2, 0, 48, 0, 2001), (3, 0, 0, None, None)])["capacity"] == 1
+    assert report([(1, 0, 2000, 0, 0), (3, 0, 0, None, None)])["coverage"] == 1
+    assert report([(1, 0, 1000, 0, 0), (1, 1, 1000, 0, 1000), (2, 0, 48, 2, 0), (3, 0, 0, None, None)])["whole"] == 1
+    assert report([(1, 0, 2000, 0, 0), (2, 0, 48, 2, 0), (3, 0, 0, None, None)])["numbering"] == 1
 
 
 def test_plan_is_bounded_by_lengths_not_items():
@@ -60,7 +93,7 @@ def test_packed_table(spark):
             continue
         per[r.container].append((r.start, r.start + r.n_tokens))
         steps[r.step_group][r.container] = steps[r.step_group].get(r.container, 0) + r.n_tokens**2
-        assert r.tier >= r.n_tokens and (r.tier == 256 or r.tier // 2 < r.n_tokens)
+        assert r.context >= r.tier >= r.n_tokens and (r.tier == 256 or r.tier // 2 < r.n_tokens)
     want = Counter()
     for d, n, _ in sizes:
         want[d] += n or 0

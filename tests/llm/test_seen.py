@@ -33,12 +33,15 @@ def test_query_then_insert_is_sequential():
     assert got.tolist() == want and (whole.words == single.words).all()
 
 
+def answered(spark, earlier, incoming, per_filter=None, measure=False):
+    rows = seen.keyed_rows(spark.createDataFrame(earlier, KEYS), spark.createDataFrame(incoming, INCOMING)).cache()
+    return rows, seen.bloom_answers(rows, seen.absent_keys(rows) if measure else None, keys_per_filter=per_filter).cache()
+
+
 def run(spark, earlier, incoming, per_filter=None):
-    e, i = spark.createDataFrame(earlier, KEYS), spark.createDataFrame(incoming, INCOMING)
-    firsts = seen.first_arrivals(e, i).cache()
-    n, per = seen.layout(firsts.count(), least=2)
-    answers = seen.bloom_answers(firsts, n, per_filter or per).cache()
-    return sorted(r[0] for r in seen.seen_before(e, i, firsts, answers).collect())
+    got = [r[0] for r in seen.seen_before(*answered(spark, earlier, incoming, per_filter)).collect()]
+    assert len(got) == len(set(got))
+    return sorted(got)
 
 
 def brute(earlier, incoming):
@@ -66,10 +69,31 @@ def test_empty_tables(spark):
     assert run(spark, [(b"a", None)], []) == []
 
 
+def test_filters_answer_second_arrivals(spark):
+    keys = [i.to_bytes(4, "big") for i in range(400)]
+    incoming = [(i, keys[i % 400], None) for i in range(800)]
+    one = spark.createDataFrame(incoming, INCOMING).repartition(8, "incoming_id")
+    rows = seen.keyed_rows(spark.createDataFrame([(k, None) for k in keys[:100]], KEYS), one).cache()
+    answers = {r.id: r.seen for r in seen.bloom_answers(rows).collect()}
+    repeats = {r.id for r in rows.filter(f"phase = {seen.REPEAT}").collect()}
+    assert len(answers) + len(repeats) == 800 and len(answers) > 500
+    assert all(answers[i] for i in answers if i % 400 < 100 or i >= 400)
+    assert sum(answers[i] for i in range(100, 400)) < 30
+
+
+def test_a_hot_key_comes_to_few_rows(spark):
+    hot = spark.range(60_000).selectExpr("cast(if(id % 3 = 0, 'hot', concat('k', id)) as binary) key", "id incoming_id").coalesce(2)
+    rows = seen.keyed_rows(hot, hot)
+    n = {r.phase: r.n for r in rows.filter("key = cast('hot' as binary)").groupBy("phase").agg({"*": "count"}).toDF("phase", "n").collect()}
+    assert n[seen.EARLIER] <= 2 and n[seen.ARRIVAL] <= 2
+    assert rows.filter(f"phase = {seen.REPEAT}").count() == 20_000 - n[seen.ARRIVAL]
+
+
 def test_measured_error(spark):
-    firsts = seen.first_arrivals(spark.createDataFrame([(i.to_bytes(4, "big"), None) for i in range(4000)], KEYS), spark.createDataFrame([], INCOMING)).cache()
-    n, per = seen.layout(4000, least=2)
-    row = seen.error_rate(seen.bloom_answers(firsts, n, per, absent=seen.absent_keys(firsts))).first()
-    assert row.n_probes == 4000 and row.rate == row.n_wrong / 4000 < 0.02
-    none = seen.error_rate(seen.bloom_answers(firsts, n, per)).first()
-    assert none.n_probes == 0 and none.rate is None
+    earlier = [(i.to_bytes(4, "big"), None) for i in range(4000)]
+    rows, answers = answered(spark, earlier, [(i, (i + 3000).to_bytes(4, "big"), None) for i in range(3000)], measure=True)
+    row = seen.error_rate(rows, answers).first()
+    assert row.n_probes == 6000 and row.rate == row.n_wrong / 6000 < 0.02
+    assert row.n_new == 2000 and row.new_rate == row.n_new_wrong / 2000 < 0.02
+    none = seen.error_rate(*answered(spark, [], [])).first()
+    assert none.n_probes == 0 and none.rate is None and none.new_rate is None

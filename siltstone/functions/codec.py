@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.model import be_bytes
@@ -119,30 +119,74 @@ def times_u32(h: Column, m: int) -> Column:
     return (upper + h.bitwiseAND(65535) * F.lit(m)) % U32
 
 
+def _le_word(key: Column, at: Column) -> Column:
+    """The number that the four bytes from 0-based place ``at`` on make, lowest first; missing ones are 0."""
+    part = F.rpad(F.hex(key.substr(at + 1, F.lit(4))), 8, "0")
+    n = F.conv(part, 16, 10).cast("long")
+    return F.shiftleft(n.bitwiseAND(255), 24) + F.shiftleft(F.shiftright(n, 8).bitwiseAND(255), 16) + F.shiftleft(F.shiftright(n, 16).bitwiseAND(255), 8) + F.shiftright(n, 24)
+
+
+def _bloom_start(key: Column) -> Column:
+    return times_u32(F.octet_length(key).cast("long"), HASH_FACTOR).bitwiseXOR(F.lit(HASH_SEED).cast("long"))
+
+
 def bloom_hash(key: Column | str) -> Column:
-    """The store's 32-bit hash of keys whose length is divisible by 4; null for others.
+    """The store's 32-bit hash of a key of any length; null for a null.
 
-    Each little-endian word is added, then multiplied. The words are folded with
-    ``aggregate``, so any length goes.
+    Each little-endian word is added, then multiplied. One to three bytes at the
+    end count as a word filled up with zeros; that rule is our own, for keys that
+    are built and probed here (lengths divisible by 4 hash as stored filters have
+    it). The words are folded over an array, so any length goes.
     """
     key = _c(key)
     n = F.octet_length(key)
-    text = F.hex(key)
+    words = F.transform(F.sequence(F.lit(0), F.ceil(n / 4).cast("int") - 1), lambda i: _le_word(key, i * 4))
+    words = F.when(n > 0, words).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(words, _bloom_start(key), lambda h, w: times_u32((h + w) % U32, HASH_FACTOR))
 
-    def word(i: Column) -> Column:
-        def part(j: int) -> Column:
-            return F.conv(text.substr((i * 8 + 1 + 2 * j).cast("int"), F.lit(2)), 16, 10).cast("long")
 
-        return part(0) + part(1) * 256 + part(2) * 65536 + part(3) * 16777216
+def with_bloom_hash(df: DataFrame, key: str, name: str, longest: int | None = None) -> DataFrame:
+    """``df`` with the hash of its ``key``; ``longest``: the most bytes of any key, if known.
 
-    start = times_u32(n.cast("long"), HASH_FACTOR).bitwiseXOR(F.lit(HASH_SEED).cast("long"))
-    places = F.when(n >= 4, F.sequence(F.lit(0), (n / 4).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    folded = F.aggregate(places, start, lambda h, i: times_u32((h + word(i)) % U32, HASH_FACTOR))
-    return F.when(n % 4 == 0, folded)
+    Then each word is a projection of its own, plain arithmetic in generated code;
+    as one expression it would double with every word.
+    """
+    if longest is None:
+        return df.withColumn(name, bloom_hash(key))
+    out = df.withColumn(name, _bloom_start(F.col(key)))
+    for at in range(0, longest, 4):
+        step = times_u32((F.col(name) + _le_word(F.col(key), F.lit(at))) % U32, HASH_FACTOR)
+        out = out.withColumn(name, F.when(F.octet_length(key) > at, step).otherwise(F.col(name)))
+    return out
 
 
 def bloom_positions(h: Column, k: Column | int, nbits: Column) -> Column:
     """The bit positions of a hash: ``k`` steps of the hash turned right by 17 bits."""
-    k = F.lit(k) if isinstance(k, int) else k
     step = (F.shiftright(h, 17) + F.shiftleft(h, 15)) % U32
+    if isinstance(k, int):
+        return F.array(*[((h + i * step) % U32) % nbits for i in range(k)])
     return F.transform(F.sequence(F.lit(0), k.cast("int") - 1), lambda i: ((h + i.cast("long") * step) % U32) % nbits)
+
+
+def value_wrap(value: Column | str) -> Column:
+    """A logged value: its length as a varint, then its bytes."""
+    return length_prefixed(value)
+
+
+def block_handle(offset: Column | str, size: Column | str) -> Column:
+    """Where a block lies: offset and size as two big-endian 4-byte numbers."""
+    return F.concat(u32_bytes(offset), u32_bytes(size))
+
+
+def handle_offset(handle: Column | str) -> Column:
+    return F.conv(F.hex(F.substring(_c(handle), 1, 4)), 16, 10).cast("long")
+
+
+def handle_size(handle: Column | str) -> Column:
+    return F.conv(F.hex(F.substring(_c(handle), 5, 4)), 16, 10).cast("long")
+
+
+def entry_size(key: Column | str, value: Column | str) -> Column:
+    """Bytes of an entry in a block: both lengths as varints, the internal key, the tag and the value."""
+    k, v = F.octet_length(_c(key)) + 8, F.coalesce(F.octet_length(_c(value)), F.lit(0)) + 1
+    return (varint_length(k) + k + varint_length(v) + v).cast("long")

@@ -14,6 +14,11 @@ L0_FILES, L1_BYTES, LEVEL_FACTOR = 4, 1 << 20, 10
 MAX_FLUSH_LEVEL = 2
 
 
+def score(level: int, n_files: int, size: int) -> float:
+    """How full one level is; from 1 on it is due."""
+    return n_files / L0_FILES if level == 0 else size / (L1_BYTES * LEVEL_FACTOR ** (level - 1))
+
+
 def level_scores(files: DataFrame) -> DataFrame:
     """``level, n_files, bytes, score, chosen``; chosen is the highest score if it is 1 or more.
 
@@ -45,6 +50,14 @@ def flush_level(new: DataFrame, files: DataFrame, id_col: str = "number") -> Dat
     return at.select(F.col("id").alias(id_col), level.otherwise(MAX_FLUSH_LEVEL).alias("level"))
 
 
+def place_run(low: bytes, high: bytes, runs: list[tuple[int, bytes, bytes]]) -> int:
+    """The level of one flushed run, by the rule of :func:`flush_level`, against ``(level, low, high)`` of the runs of a manifest in memory."""
+    met = {level for level, a, b in runs if a <= high and b >= low}
+    if 0 in met:
+        return 0
+    return next((n - 1 for n in range(1, MAX_FLUSH_LEVEL + 1) if n in met), MAX_FLUSH_LEVEL)
+
+
 def inputs(files: DataFrame, seed: int | None = None, id_col: str = "number") -> DataFrame:
     """``number, side`` of the files to compact together ('base' and 'target').
 

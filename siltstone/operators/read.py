@@ -50,7 +50,9 @@ def multi_get(log: DataFrame, keys: DataFrame, seq: int | None = None) -> DataFr
     """``key, found, seq, value`` of each distinct non-null requested key.
 
     The log is cut down to the requested keys before versions are compared. Spark
-    broadcasts the keys if their size allows; if not, rows of a hot key are spread.
+    broadcasts the keys if their size allows; if not, it splits a partition that
+    one key fills while the join runs (adaptive skew join), and of each key the
+    comparison sends one row a task.
     """
     wanted = keys.filter("key is not null").select("key").distinct()
     if seq is not None:

@@ -15,14 +15,15 @@ ENTRY_OFFSET = 4
 
 
 def write_run(log: DataFrame, path: str, files: int | None = None, block_size: int = 4096, row_group: int = 64 << 20) -> None:
-    """Write a changelog as files of disjoint key ranges, sorted by key and newest first.
+    """Write a changelog as files of disjoint ranges, sorted by key and newest first.
 
-    The page size follows the block size; a Parquet bloom filter and the sorted
-    footer statistics let readers skip files and pages by key.
+    Ranges are cut by key and number, so a key with very many versions fills
+    several files. The page size follows the block size; a Parquet bloom filter
+    and the sorted footer statistics let readers skip files and pages by key.
     """
-    n = files or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = files or ordered.range_count(log)
     (
-        log.repartitionByRange(n, "key")
+        log.repartitionByRange(n, F.asc("key"), F.desc("seq"))
         .sortWithinPartitions(F.asc("key"), F.desc("seq"))
         .write.option("parquet.bloom.filter.enabled#key", "true")
         .option("parquet.block.size", row_group)
@@ -36,12 +37,21 @@ def read_run(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CHANGELOG).parquet(path)
 
 
-def merge(runs: list[DataFrame]) -> DataFrame:
-    """All entries of the runs in store order."""
+def union(runs: list[DataFrame]) -> DataFrame:
     out = runs[0]
     for r in runs[1:]:
         out = out.unionByName(r)
-    return read.scan_versions(out)
+    return out
+
+
+def merge(runs: list[DataFrame]) -> DataFrame:
+    """All entries of the runs in store order."""
+    return read.scan_versions(union(runs))
+
+
+def merge_positions(runs: list[DataFrame]) -> DataFrame:
+    """All entries of the runs with their ``position`` in the merged order, from 1."""
+    return ordered.position(union(runs), [F.asc("key"), F.desc("seq")])
 
 
 def compact_bottom(log: DataFrame) -> DataFrame:
@@ -60,6 +70,15 @@ def compact(log: DataFrame, retained: int, bottom: bool = False) -> DataFrame:
     return above.unionByName(base.filter(F.col("op") == PUT) if bottom else base)
 
 
+def compact_entries(entries: DataFrame, retained: int, bottom: bool = False) -> DataFrame:
+    """The same for entries with pointers into value logs; no value is fetched."""
+    held = [c for c in entries.columns if c not in ("key", "run")]
+    above = entries.filter(F.col("seq") > retained).select("key", *held)
+    top = F.max(F.struct("seq", "op", *[c for c in held if c not in ("seq", "op")])).alias("v")
+    base = entries.filter(F.col("seq") <= retained).groupBy("key").agg(top).select("key", *[F.col(f"v.{c}").alias(c) for c in held])
+    return above.unionByName(base.filter(F.col("op") == PUT) if bottom else base)
+
+
 def drop_exact_repeats(log: DataFrame, smallest_seq: int) -> DataFrame:
     """Drop repeats of the same (key, seq, op), but only below ``smallest_seq``."""
     old, new = log.filter(F.col("seq") < smallest_seq), log.filter(F.col("seq") >= smallest_seq)
@@ -118,6 +137,34 @@ def blocks(log: DataFrame, block_size: int = 4096, key_bytes: int = 4, value_byt
     return placed.withColumn("block", F.floor((F.col("position") - 1) / per_block).cast("long"))
 
 
+def cut_blocks(log: DataFrame, file_col: str = "file_no", block_size: int = 4096) -> DataFrame:
+    """``file_no, key, seq, op, block``: the block of each entry of sorted files, for entries of any width.
+
+    An entry takes the varint lengths, the internal key and the tagged value
+    (:func:`codec.entry_size`), and four bytes for its offset; a block is cut after
+    the entry that brings it to the block size. Each cut depends on the one
+    before, so the sizes of a file (which is of bounded size) are walked in one
+    task; keys and values stay where they are.
+    """
+    order = [F.asc("key"), F.desc("seq"), F.desc("op")]
+    sized = log.select(file_col, "key", "seq", "op", codec.entry_size("key", "value").alias("_size"))
+    placed = sized.withColumn("_i", F.row_number().over(W.partitionBy(file_col).orderBy(*order)))
+
+    def walk(f):
+        f = f.sort_values("_i")
+        held, block, at = ENTRY_OFFSET, 0, []
+        for size in f["_size"].tolist():
+            at.append(block)
+            held += size + ENTRY_OFFSET
+            if held >= block_size:
+                held, block = ENTRY_OFFSET, block + 1
+        return f[[file_col, "_i"]].assign(block=at)
+
+    kind = dict(sized.dtypes)[file_col]
+    cut = placed.select(file_col, "_i", "_size").groupBy(file_col).applyInPandas(walk, f"{file_col} {kind}, _i int, block long")
+    return placed.join(cut, [file_col, "_i"]).select(file_col, "key", "seq", "op", "block")
+
+
 def block_index(blocked: DataFrame) -> DataFrame:
     """The last internal key of each block."""
     last = F.max(F.struct("position", codec.internal_key("key", "seq", "op").alias("ik")))

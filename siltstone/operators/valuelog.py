@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siltstone.operators import ordered
+from siltstone.sources.files import RECORDS
 
 #: Bytes of a record besides its value: an 8-byte checksum and a 4-byte length.
 RECORD_HEADER = 12
@@ -28,42 +28,46 @@ def offsets(df: DataFrame, vlog: str, order: list[Column], value: Column, name:
     return df.withColumn(name, F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long"))
 
 
-def split(log: DataFrame, vlog_size: int, threshold: int = 128) -> tuple[DataFrame, DataFrame]:
-    """Split a changelog into entries and value records.
+def separate(log: DataFrame, path: str, logs: int = 1, threshold: int = 128) -> DataFrame:
+    """Write the large values of a changelog to value logs under ``path``; returns the entries.
 
     Entries: ``key, seq, op, value_inline, vlog_fid, vlog_off``; records:
-    ``vlog_fid, vlog_off, value``. Large values are laid out in key order and cut
-    into logs of about ``vlog_size`` bytes by their running size; a value never
-    spans two logs. The pointer is the log and the offset in it.
+    ``vlog_fid, vlog_off, key, seq, op, value``. Large values are laid out in key
+    order, in ``logs`` ranges of (key, seq), so that a key with very many versions
+    fills several. A pointer is the log and the place in it, both known from where
+    a row was written: values move and are written once, and the entries are read
+    back from the written logs without them.
     """
     large = is_large(F.col("value"), threshold)
-    size = (F.octet_length("value") + RECORD_HEADER).cast("long")
-    placed = ordered.running(log.filter(large).select("key", "seq", "op", "value"), [F.asc("key"), F.desc("seq")], {"at": ("sum", size)})
-    fid = F.floor(F.col("at") / vlog_size).cast("long")
-    logged = placed.withColumn("vlog_fid", fid)
-    logged = offsets(logged, "vlog_fid", [F.asc("key"), F.desc("seq")], F.col("value")).drop("at")
+    place = F.monotonically_increasing_id()
+    (
+        log.filter(large)
+        .repartitionByRange(logs, "key", "seq")
+        .sortWithinPartitions(F.asc("key"), F.desc("seq"))
+        .select(place.alias("_at"), "key", "seq", "op", "value")
+        .select(F.shiftright("_at", 33).alias("vlog_fid"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("vlog_off"), "key", "seq", "op", "value")
+        .write.mode("overwrite")
+        .option("compression", "lz4_raw")
+        .parquet(path)
+    )
     none = F.lit(None)
     small = log.filter(~large).select("key", "seq", "op", F.col("value").alias("value_inline"), none.cast("long").alias("vlog_fid"), none.cast("long").alias("vlog_off"))
-    entries = small.unionByName(logged.select("key", "seq", "op", none.cast("binary").alias("value_inline"), "vlog_fid", "vlog_off"))
-    return entries, logged.select("vlog_fid", "vlog_off", "value")
+    logged = log.sparkSession.read.schema(RECORDS).parquet(path)
+    return small.unionByName(logged.select("key", "seq", "op", none.cast("binary").alias("value_inline"), "vlog_fid", "vlog_off"))
 
 
-def resolve(entries: DataFrame, records: DataFrame) -> DataFrame:
+def resolve(entries: DataFrame, records: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The changelog again: pointers followed, inline values as they are.
 
     A pointer to nothing gives a null value.
     """
-    joined = entries.join(records, ["vlog_fid", "vlog_off"], "left")
+    by = by or ["vlog_fid", "vlog_off"]
+    joined = entries.join(records.select(*by, "value"), by, "left")
     return joined.select("key", "seq", "op", F.coalesce("value_inline", "value").alias("value"))
 
 
-def rewrite(entries: DataFrame, records: DataFrame, vlog_size: int, threshold: int = 128) -> tuple[DataFrame, DataFrame]:
-    """Fresh value logs with only the values that ``entries`` still point to."""
-    return split(resolve(entries, records), vlog_size, threshold)
-
-
-def merged_vlogs(files: DataFrame, new_vlog: int | None) -> Column:
-    """The value logs of a compacted file: its own new one, or all of its inputs'."""
-    if new_vlog is not None:
-        return F.array(F.lit(new_vlog).cast("long"))
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("vlogs", F.array().cast("array<long>"))))))
+def inherited(files: DataFrame, by: list[str]) -> DataFrame:
+    """``by..., vlogs``: the value logs of a file that is compacted from each group's without rewriting values: all of theirs, each once."""
+    held = files.select(*by, F.explode("vlogs").alias("vlog")).filter("vlog is not null").distinct()
+    lists = held.groupBy(*by).agg(F.array_sort(F.collect_list("vlog")).alias("vlogs"))  # value logs are far fewer than records
+    return files.select(*by).distinct().join(lists, by, "left").withColumn("vlogs", F.coalesce("vlogs", F.array().cast("array<bigint>")))

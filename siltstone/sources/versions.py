@@ -13,7 +13,7 @@ class VersionLog:
     A body is written aside and renamed to the next number without overwriting,
     so a reader sees a whole version or none, and of two writers that start from
     the same version one fails. A body is an edit of the version before it: the
-    names it holds replace those of the same name. Every ``base_every`` versions a
+    names it holds replace those of the same name, and a null takes a name out. Every ``base_every`` versions a
     body is written out in full, so reading takes a bounded number of files and
     writing does not repeat what has not changed.
     """
@@ -55,12 +55,14 @@ class VersionLog:
             if body["full"]:
                 break
             at -= 1
-        return {k: v for e in reversed(edits) for k, v in e.items()}
+        state = {k: v for e in reversed(edits) for k, v in e.items()}
+        return {k: v for k, v in state.items() if v is not None}
 
     def publish(self, base: int, changes: dict) -> int:
         """Make version ``base`` with ``changes`` version ``base + 1``."""
         final, full = self._file(base + 1), base % self.base_every == 0
-        body = {"full": full, "set": {**self.read(base), **changes} if full else changes}
+        whole = {k: v for k, v in {**self.read(base), **changes}.items() if v is not None} if full else changes
+        body = {"full": full, "set": whole}
         aside = f"{self.path}/.{base + 1}-{self._jvm.java.util.UUID.randomUUID()}"
         out = self._fs.create(self._at(aside), True)
         out.write(bytearray(json.dumps(body).encode()))

@@ -4,11 +4,13 @@ import os
 import random
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from siltstone.functions import codec
 from siltstone.model import CHANGELOG, Options
 from siltstone.operators import bloom, ordered, policy, read, runs, valuelog, write
+from siltstone.sources.versions import VersionLog
 from siltstone.store import Store
 from siltstone.streaming.ingest import ingest
 
@@ -133,16 +135,45 @@ class TestCodec:
         body = bytearray(size) + bytes([3])
         for r in rows:
             body[r.bit // 8] |= 1 << r.bit % 8
-        asked = keys.select(bloom.may_contain(F.lit(bytes(body)), F.col("key")).alias("m"))
-        assert asked.filter("m").count() == 2000
-        assert spark.range(1).select(bloom.may_contain(F.lit(b"\3"), F.lit(b"abcd")).alias("m")).first().m is False
+        for h, most in ((codec.bloom_hash("key"), None), (codec.bloom_hash("key"), 3)):
+            assert keys.select(bloom.may_contain(F.lit(bytes(body)), h, most).alias("m")).filter("m").count() == 2000
+        packed = bloom.pack(bloom.build(keys, ["f"], bits), ["f"], bits).first()
+        assert bytes(packed.filters) == bytes(body)
+        one = spark.range(1).select(*[bloom.may_contain(F.lit(f), codec.bloom_hash(F.lit(b"abcd"))).alias(n) for n, f in (("empty", b"\3"), ("null", None), ("many", b"\0\x1f"))]).first()
+        assert (one.empty, one.null, one.many) == (False, None, True)
+
+    def test_hash_of_any_length(self, spark):
+        rng = random.Random(2)
+        keys = [b"", None, *[rng.randbytes(n) for n in range(1, 41)], b"a", b"a\0", b"a\0\0", rng.randbytes(500)]
+
+        def want(k):
+            h = (len(k) * codec.HASH_FACTOR & 0xFFFFFFFF) ^ codec.HASH_SEED
+            for i in range(0, len(k), 4):
+                h = (h + int.from_bytes(k[i : i + 4], "little")) * codec.HASH_FACTOR & 0xFFFFFFFF
+            return h
+
+        df = spark.createDataFrame([(k,) for k in keys], "key binary").withColumn("a", codec.bloom_hash("key"))
+        for r in codec.with_bloom_hash(df, "key", "b", 500).collect():
+            assert r.a == r.b == (None if r.key is None else want(bytes(r.key)))
+
+    def test_filters_of_keys_of_any_length(self, spark):
+        keys = spark.range(300).select((F.col("id") % 3).alias("f"), F.repeat(F.lit("k"), (F.col("id") % 11).cast("int")).alias("t"), "id").select("f", F.concat("t", F.col("id").cast("string")).cast("binary").alias("key"))
+        packed = bloom.pack(bloom.build(keys, ["f"], 10), ["f"], 10)
+        asked = codec.with_bloom_hash(keys, "key", "h", bloom.longest_key(keys)).join(packed, "f").select(bloom.may_contain(F.col("filters"), F.col("h")).alias("m"))
+        assert asked.filter("m").count() == 300
+        other = codec.with_bloom_hash(keys.select("f", F.concat("key", F.lit(b"?")).alias("key")), "key", "h").join(packed, "f").select(bloom.may_contain(F.col("filters"), F.col("h")).alias("m"))
+        assert other.filter("m").count() < 60
+
+    def test_block_handles(self, spark):
+        df = spark.createDataFrame([(0, 4096), (123456, 1), ((1 << 32) - 1, 7)], "o long, s long").withColumn("h", codec.block_handle("o", "s"))
+        assert all((r.o, r.s) == (r.o2, r.s2) and bytes(r.h) == be32(r.o) + be32(r.s) for r in df.select("*", codec.handle_offset("h").alias("o2"), codec.handle_size("h").alias("s2")).collect())
 
 
 class TestValueLog:
-    def test_split_and_follow(self, spark):
+    def test_split_and_follow(self, spark, tmp_path):
         rows = [(bytes([k]), k, 1, bytes([k]) * n) for k, n in enumerate([0, 1, 119, 120, 127, 128, 300, 5000])] + [(b"gone", 99, 0, None)]
-        entries, records = valuelog.split(log_of(spark, rows), 1000)
-        entries = entries.cache()
+        entries = valuelog.separate(log_of(spark, rows), f"{tmp_path}/v", 2).cache()
+        records = spark.read.parquet(f"{tmp_path}/v")
         assert entries.filter("vlog_fid is not null").count() == records.count() == 3
         back = {bytes(r.key): r.value if r.value is None else bytes(r.value) for r in valuelog.resolve(entries, records).collect()}
         assert back == {k: v for k, _, _, v in rows}
@@ -253,26 +284,176 @@ class TestStore:
     def test_large_batches_flush_by_themselves(self, spark, tmp_path):
         s = open_store(spark, tmp_path, mem_size=1000)
         s.put(b"a", b"x" * 600)
-        assert len(s.state["logs"]) == 1 and not s.state["runs"]
+        assert len(s.logs) == 1 and not s.runs
         s.put(b"b", b"y" * 600)
-        assert not s.state["logs"] and s.state["runs"][0]["entries"] == 2
+        assert not s.logs and s.runs[0]["entries"] == 2
         assert s.get(b"a") == b"x" * 600
 
     def test_policy_compaction_and_purge(self, spark, tmp_path):
         s = open_store(spark, tmp_path)
-        for i in range(4):
+        for i in range(6):
             s.write_batch(write.WriteBatch().put(b"a", bytes([i])).put(b"z", b"x" * 300))
             s.flush()
         assert s.compact() and not s.compact()
-        assert [(r["level"], r["entries"]) for r in s.state["runs"]] == [(1, 2)]
+        assert [(r["level"], r["entries"]) for r in s.runs] == [(2, 2), (1, 2)]
+        s.compact(full=True)
+        assert [r["entries"] for r in s.runs] == [2]
         s.purge()
-        assert s.get(b"a") == bytes([3]) and s.get(b"z") == b"x" * 300
+        assert s.get(b"a") == bytes([5]) and s.get(b"z") == b"x" * 300
+
+    SCHEMA = "batch_id long, pos int, key binary, op int, value binary"
+
+    def feed(self, spark, tmp, *rows):
+        spark.createDataFrame(list(rows), self.SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp}/in")
+        return spark.readStream.schema(self.SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp}/in")
 
     def test_stream_batches_apply_once(self, spark, tmp_path):
         s = open_store(spark, tmp_path / "store")
-        schema = "batch_id long, pos int, key binary, op int, value binary"
-        spark.createDataFrame([(1, 0, b"a", 1, b"1"), (1, 1, b"b", 1, b"2"), (2, 0, b"a", 0, None)], schema).coalesce(1).write.parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        stream = self.feed(spark, tmp_path, (1, 0, b"a", 1, b"1"), (1, 1, b"b", 1, b"2"), (2, 0, b"a", 0, None))
+        ingest(s, stream, "feed", f"{tmp_path}/checkpoint")
+        commits = f"{tmp_path}/checkpoint/commits"
+        for name in ("0", ".0.crc"):  # as after a crash before the commit: batch 0 is sent again
+            if os.path.exists(f"{commits}/{name}"):
+                os.remove(f"{commits}/{name}")
         ingest(s, stream, "feed", f"{tmp_path}/checkpoint")
-        ingest(s, stream, "feed", f"{tmp_path}/other")  # a lost checkpoint sends batch 0 again
         assert s.state["next_seq"] == 3 and {bytes(r.key) for r in s.snapshot().collect()} == {b"b"}
+
+    def test_a_lost_checkpoint_loses_and_repeats_nothing(self, spark, tmp_path):
+        s = open_store(spark, tmp_path / "store")
+        ingest(s, self.feed(spark, tmp_path, (1, 0, b"a", 1, b"1")), "feed", f"{tmp_path}/checkpoint")
+        stream = self.feed(spark, tmp_path, (2, 0, b"c", 1, b"3"))
+        with pytest.raises(StreamingQueryException):
+            ingest(s, stream, "feed", f"{tmp_path}/other")
+        assert {bytes(r.key) for r in s.snapshot().collect()} == {b"a"}
+        ingest(s, stream, "feed", f"{tmp_path}/checkpoint")
+        assert {bytes(r.key) for r in s.snapshot().collect()} == {b"a", b"c"} and s.state["next_seq"] == 2
+
+    def test_reads_touch_only_runs_in_range(self, spark, tmp_path):
+        s = open_store(spark, tmp_path, kv_separate_threshold=8)
+        for low in (0, 100, 200):
+            batch = write.WriteBatch()
+            for i in range(10):
+                batch.put(be32(low + i), b"x" * 20 + bytes([i]))
+            s.write_batch(batch)
+            s.flush()
+        assert [r["level"] for r in s.runs] == [2, 2, 2]  # no overlap anywhere
+        assert [len(s.runs_for(be32(k), be32(k))) for k in (5, 50, 105, 999)] == [1, 0, 1, 0]
+        assert s.get(be32(205)) == b"x" * 20 + b"\5" and s.get(be32(50)) is None and s.misses == {}
+        assert s.get(be32(3), 1) is None and s.get(be32(9)) == b"x" * 20 + b"\t"
+        keys = spark.createDataFrame([(be32(k),) for k in (101, 109, 150)], "key binary")
+        assert {bytes(r.key): r.found for r in s.multi_get(keys).collect()} == {be32(101): True, be32(109): True, be32(150): False}
+        assert s.multi_get(keys.limit(0)).count() == 0
+        assert [bytes(r.key) for r in s.scan(be32(108), be32(202)).collect()] == [be32(k) for k in (108, 109, 200, 201)]
+        plan = s._entries(s.runs_for(be32(5), be32(5))).filter(F.col("key") == F.lit(bytearray(be32(5))))._jdf.queryExecution().executedPlan().toString()
+        assert "/runs/1" in plan and "/runs/2" not in plan and "EqualTo(key" in plan
+
+    def test_flushes_are_placed_by_overlap(self, spark, tmp_path):
+        s = open_store(spark, tmp_path)
+        for low, high in ((0, 9), (20, 29), (5, 25), (5, 6), (0, 40)):
+            s.write_batch(write.WriteBatch().put(be32(low), b"l").put(be32(high), b"h"))
+            s.flush()
+        assert [r["level"] for r in s.runs] == [2, 2, 1, 0, 0]
+
+    @pytest.mark.parametrize("seed", range(3))
+    def test_placing_is_the_policy_of_the_tables(self, spark, seed):
+        rng = random.Random(seed)
+        spans = [(n, rng.randrange(3), a, a + rng.randrange(20)) for n, a in enumerate(rng.randrange(300) for _ in range(25))]
+        files = spark.createDataFrame([(n, lv, 1, be32(a) + b"\0" * 8, be32(b) + b"\0" * 8) for n, lv, a, b in spans], "number long, level int, file_size long, smallest binary, largest binary")
+        got = {r.number: r.level for r in policy.flush_level(files, files).collect()}
+        assert got == {n: policy.place_run(be32(a), be32(b), [(lv, be32(c), be32(d)) for m, lv, c, d in spans if m != n]) for n, _, a, b in spans}
+
+    def test_fruitless_probes_lead_to_a_compaction(self, spark, tmp_path):
+        s = open_store(spark, tmp_path, allow_miss_count=3)
+        for keys in ((0, 50), (10, 60), (20, 70)):
+            s.write_batch(write.WriteBatch().put(be32(keys[0]), b"a").put(be32(keys[1]), b"b"))
+            s.flush()
+        before = {bytes(r.key): bytes(r.value) for r in s.snapshot().collect()}
+        assert not s.compact_seek()
+        for _ in range(3):
+            assert s.get(be32(30)) is None
+        assert "seek" in s.requests() and s.maintain() and s.requests() == []
+        assert len(s.runs) < 3 and {bytes(r.key): bytes(r.value) for r in s.snapshot().collect()} == before
+        rows = {r.run: (r.probes, r.hits, r.misses) for r in s.note_misses(spark.createDataFrame([(be32(k),) for k in (0, 1, 2, 999)], "key binary")).collect()}
+        assert all(p == h + m for p, h, m in rows.values()) and sum(s.misses.values()) == sum(m for *_, m in rows.values())
+
+    def test_value_logs_are_taken_over_then_rewritten(self, spark, tmp_path):
+        s = open_store(spark, tmp_path, kv_separate_threshold=8)
+        want = {}
+        for n in range(6):
+            batch = write.WriteBatch()
+            for k in (0, 1, 2 + n, 90):
+                batch.put(be32(k), b"v" * 20 + bytes([n, k]))
+                want[be32(k)] = b"v" * 20 + bytes([n, k])
+            s.write_batch(batch)
+            s.flush()
+        state = lambda: {bytes(r.key): bytes(r.value) for r in s.snapshot().collect()}
+        assert state() == want
+        while s.compact():
+            pass
+        most = max(s.runs, key=lambda r: len(r["vlogs"]))
+        assert len(most["vlogs"]) > 1 and state() == want
+        assert s.collect_garbage() == most["number"] and state() == want
+        while s.collect_garbage() is not None:
+            pass
+        assert all(len(r["vlogs"]) <= 1 for r in s.runs)
+        removed = s.purge()
+        assert any("/vlogs/" in p for p in removed) and state() == want
+        assert s.get(be32(90)) == want[be32(90)]
+
+    def test_a_pinned_reader_keeps_its_files(self, spark, tmp_path):
+        s = open_store(spark, tmp_path, kv_separate_threshold=8)
+        s.put(b"k", b"old" * 10)
+        s.flush()
+        with s.pin() as reader:
+            s.put(b"k", b"new" * 10)
+            s.flush()
+            s.compact(full=True)
+            s.purge()
+            assert s.pinned() == [reader.version]
+            assert reader.get(b"k") == b"old" * 10 and s.get(b"k") == b"new" * 10
+        assert s.pinned() == [] and any("/runs/1" in p for p in s.purge())
+        assert open_store(spark, tmp_path).get(b"k") == b"new" * 10
+
+    def test_the_manifest_holds_edits(self, spark, tmp_path):
+        log = VersionLog(spark, f"{tmp_path}/m", base_every=4)
+        for n in range(11):
+            log.publish(n, {f"x{n}": n, **({f"x{n - 1}": None} if n % 2 else {})})
+        assert log.current() == 11 and log.read() == {f"x{n}": n for n in (1, 3, 5, 7, 9, 10)}
+        assert log.read(6) == {f"x{n}": n for n in (1, 3, 5)}
+        sizes = [os.path.getsize(f"{tmp_path}/m/{v:012d}") for v in log.versions()]
+        assert max(sizes[5:8]) < sizes[8]
+        assert log.expire(7) == [1, 2, 3, 4] and log.read(7) == {f"x{n}": n for n in (1, 3, 5, 6)}
+        with pytest.raises(RuntimeError):
+            log.publish(9, {})
+
+    def test_many_writes_deletes_and_reads(self, spark, tmp_path):
+        """Writes in rounds, overwrites and deletes, checked by key, by scan and after opening again."""
+        s, want = open_store(spark, tmp_path, mem_size=4000, kv_separate_threshold=16), {}
+        for round_ in range(4):
+            ops = []
+            for i in range(round_ * 50, round_ * 50 + 120):
+                gone = i % 7 == round_
+                ops.append((i, 0, bytearray(be32(i)), 0 if gone else 1, None if gone else bytearray(be32(i) * (1 + i % 8))))
+                want.pop(be32(i), None) if gone else want.__setitem__(be32(i), be32(i) * (1 + i % 8))
+            s.write(spark.createDataFrame(ops, self.SCHEMA))
+            s.maintain()
+        for store in (s, open_store(spark, tmp_path, kv_separate_threshold=16)):
+            assert {bytes(r.key): bytes(r.value) for r in store.snapshot().collect()} == want
+            for i in (0, 3, 77, 150, 269, 5000):
+                assert store.get(be32(i)) == want.get(be32(i))
+
+    def test_opening_after_half_done_work(self, spark, tmp_path):
+        """Folders that no version names, as an interrupted flush or write leaves them, change nothing."""
+        s = open_store(spark, tmp_path)
+        s.put(b"a", b"1")
+        s.flush()
+        s.put(b"b", b"2")
+        log_of(spark, [(b"a", 9, 1, b"ghost")]).write.parquet(f"{tmp_path}/log/dead")
+        s._write_run(log_of(spark, [(b"a", 99, 1, b"ghost")]), 0, 10)
+        again = open_store(spark, tmp_path)
+        assert {bytes(r.key): bytes(r.value) for r in again.snapshot().collect()} == {b"a": b"1", b"b": b"2"}
+        again.put(b"c", b"3")
+        again.flush()
+        assert len(again.runs) == 2 and again.state["next_seq"] == 3
+        assert {bytes(r.key): bytes(r.value) for r in open_store(spark, tmp_path).snapshot().collect()} == {b"a": b"1", b"b": b"2", b"c": b"3"}
+        assert any(p.endswith("/log/dead") for p in again.purge())

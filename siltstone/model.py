@@ -37,9 +37,9 @@ FILE_META = T.StructType(
 class Options:
     """Settings of a store; each ``with_...`` call returns a changed copy.
 
-    ``cache_size``, ``allow_miss_size`` and ``allow_miss_count`` are accepted so
-    that settings carry over; Spark's storage memory and the seek-miss policy
-    take their place.
+    Point reads keep runs of up to a sixteenth of ``cache_size`` in storage memory;
+    ``allow_miss_count`` fruitless probes of a run ask for its compaction.
+    ``allow_miss_size`` is accepted so that settings carry over, and has no effect.
     """
 
     work_dir: str = "work_dir"

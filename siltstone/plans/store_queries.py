@@ -9,6 +9,7 @@ from siltstone.functions import codec
 from siltstone.model import DELETE, PUT, Options, be_bytes, changelog, events_changelog
 from siltstone.operators import bloom, manifest, policy, read, runs, valuelog, write
 from siltstone.session import scratch, settle
+from siltstone.sources import sst
 from siltstone.store import Store
 
 #: Events of one run, and the runs that are written and merged.
@@ -321,6 +322,12 @@ def block_cut(spark, sf_dir):
     return cut.select("file_no", F.hex("key").alias("key_hex"), "seq", "block")
 
 
+def sst_roundtrip(spark, sf_dir):
+    """Runs as files of the store's binary format, and read from it again."""
+    files = settle(sst.encoded(runs_log(spark, sf_dir), "file_no"), "sst")
+    return shown(sst.decoded(files).withColumnRenamed("value_inline", "value"), "number", "key_hex", "seq", "op", "value")
+
+
 def block_handles(spark, sf_dir):
     """Offset and size of blocks of the merged run, made and taken apart."""
     n = runs.blocks(log(spark, sf_dir)).groupBy("block").agg(F.count("*").alias("n")).select((F.col("block") * 4096).alias("offset"), (F.col("n") * 23 + 4).alias("size"))
@@ -496,6 +503,7 @@ SELECT CAST(number AS BIGINT) AS number, CASE WHEN EXISTS (SELECT 1 FROM p q WHE
 t(file_no, i, block, held) AS (SELECT file_no, i, CAST(0 AS BIGINT), CAST(4 + size + 4 AS BIGINT) FROM w WHERE i = 1
   UNION ALL SELECT w.file_no, w.i, CASE WHEN t.held >= 4096 THEN t.block + 1 ELSE t.block END, CASE WHEN t.held >= 4096 THEN 4 ELSE t.held END + w.size + 4 FROM t JOIN w ON w.file_no = t.file_no AND w.i = t.i + 1)
 SELECT file_no, key_hex, seq, block FROM t JOIN w USING (file_no, i)""",
+    "sst_roundtrip": L + "SELECT file_no AS number, key_hex, seq, op, value FROM l",
     "block_handles": L + """, b AS (SELECT (row_number() OVER (ORDER BY key_hex, seq DESC) - 1) // 178 AS block FROM l),
 g AS (SELECT block * 4096 AS o, count(*) * 23 + 4 AS s FROM b GROUP BY block)
 SELECT lpad(hex(o), 8, '0') || lpad(hex(s), 8, '0') AS handle, o AS "offset", s AS size FROM g""",
@@ -560,7 +568,7 @@ QUERIES = {
     for f in (
         get_point, multi_get, snapshot_latest, get_as_of, tombstoned_keys, write_batch_seq, version_history, merge_runs, compact_bottom, compact_retain,
         compact_exact_dup, run_metadata, zone_prune, run_overlaps, l0_overlap_groups, major_inputs, seek_inputs, vlog_inheritance, build_version, dead_files,
-        store_get, flush_placed, vlog_rewrite, block_cut, block_handles, logged_values, number_bytes, compaction_score, flush_level, manifest_replay, manifest_counters,
+        store_get, flush_placed, vlog_rewrite, block_cut, sst_roundtrip, block_handles, logged_values, number_bytes, compaction_score, flush_level, manifest_replay, manifest_counters,
         unreferenced_files, gc_candidate, value_split, vlog_offsets, vlog_deref, bloom_build, bloom_probe, bloom_stored, varint_codec, internal_key,
         file_meta_keys, block_assign, block_index, index_seek, wal_replay, wal_snapshot, seek_miss, lookup_layer, memory_use, record_crc, sorted_run_roundtrip,
     )

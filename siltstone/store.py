@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import codec
 from siltstone.model import CHANGELOG, FILE_META, Options
 from siltstone.operators import manifest, policy, runs, valuelog, write
+from siltstone.sources.cache import TableCache
 from siltstone.sources.files import ENTRIES, RECORDS, read_folders, read_numbered
 from siltstone.sources.versions import VersionLog
 
@@ -34,6 +35,7 @@ class View:
         self.dir = options.work_dir.rstrip("/")
         self.manifest = VersionLog(spark, f"{self.dir}/manifest")
         self.misses: dict[int, int] = {}
+        self.cache = TableCache(options.cache_size)
         self._load(version)
 
     def _load(self, version: int | None = None) -> None:
@@ -75,14 +77,29 @@ class View:
 
     def _entries(self, chosen: list[dict] | None = None) -> DataFrame:
         """Keys and pointers of the log and the chosen runs (all by default), one scan each, with ``run`` (null: log); large values are not touched."""
+        return self._fresh().unionByName(self._stored(self.runs if chosen is None else chosen))
+
+    def _fresh(self) -> DataFrame:
         log = read_folders(self.spark, [x["path"] for x in self.logs], CHANGELOG)
         none = F.lit(None).cast("long")
-        fresh = log.select("key", "seq", "op", F.col("value").alias("value_inline"), none.alias("vlog_run"), none.alias("vlog_fid"), none.alias("vlog_off"), none.alias("run"))
-        return fresh.unionByName(self._stored(self.runs if chosen is None else chosen))
+        return log.select("key", "seq", "op", F.col("value").alias("value_inline"), none.alias("vlog_run"), none.alias("vlog_fid"), none.alias("vlog_off"), none.alias("run"))
 
     def _stored(self, chosen: list[dict]) -> DataFrame:
         return read_numbered(self.spark, f"{self.dir}/runs", [r["number"] for r in chosen], ENTRIES, "run")
 
+    @contextmanager
+    def _kept(self, chosen: list[dict]) -> Iterator[DataFrame]:
+        """The entries of the chosen runs, small ones from memory, where they stay pinned meanwhile."""
+        small = [r for r in chosen if r["bytes"] <= self.cache.share]
+        out = self._stored([r for r in chosen if r["bytes"] > self.cache.share])
+        for r in small:
+            out = out.unionByName(self.cache.get_or_make(f"run-{r['number']}", lambda r=r: self._stored([r]), r["bytes"]))
+        try:
+            yield out
+        finally:
+            for r in small:
+                self.cache.unpin(f"run-{r['number']}")
+
     def _newest(self, entries: DataFrame) -> DataFrame:
         """The newest version of each key with its value: versions are compared before values are fetched."""
         top = entries.groupBy("key").agg(F.max(F.struct("seq", "op", "value_inline", "vlog_run", "vlog_fid", "vlog_off")).alias("v")).select("key", "v.*")
@@ -125,11 +142,12 @@ class View:
         """
         literal = F.lit(bytearray(key))
         chosen = self.runs_for(key, key)
-        entries = self._entries(chosen).filter(F.col("key") == literal)
-        if seq is not None:
-            entries = entries.filter(F.col("seq") <= seq)
         top = F.max(F.struct("seq", "op", "value_inline", "vlog_run", "vlog_fid", "vlog_off")).alias("v")
-        row = entries.agg(top, F.collect_set("run").alias("hit")).first()
+        with self._kept(chosen) as stored:
+            entries = self._fresh().unionByName(stored).filter(F.col("key") == literal)
+            if seq is not None:
+                entries = entries.filter(F.col("seq") <= seq)
+            row = entries.agg(top, F.collect_set("run").alias("hit")).first()
         for r in chosen:
             if r["number"] not in row["hit"]:
                 self.misses[r["number"]] = self.misses.get(r["number"], 0) + 1
@@ -270,6 +288,8 @@ class Store(View):
             names[f"run-{run['number']}"] = run
         self._publish(**names, next_number=self.state["next_number"] + 1, **changes)
         self.misses = {k: v for k, v in self.misses.items() if f"run-{k}" not in names}
+        for r in gone:
+            self.cache.evict(f"run-{r['number']}")
 
     def flush(self) -> None:
         """Move the log into a sorted run: to level 0 if it overlaps a run there, else down past the levels without overlap."""

@@ -344,6 +344,8 @@ class TestStore:
         assert {bytes(r.key): r.found for r in s.multi_get(keys).collect()} == {be32(101): True, be32(109): True, be32(150): False}
         assert s.multi_get(keys.limit(0)).count() == 0
         assert [bytes(r.key) for r in s.scan(be32(108), be32(202)).collect()] == [be32(k) for k in (108, 109, 200, 201)]
+        for r in s.runs:
+            s.cache.evict(f"run-{r['number']}")
         plan = s._entries(s.runs_for(be32(5), be32(5))).filter(F.col("key") == F.lit(bytearray(be32(5))))._jdf.queryExecution().executedPlan().toString()
         assert "/runs/1" in plan and "/runs/2" not in plan and "EqualTo(key" in plan
 

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from siltstone.llm import boosting
 from siltstone.llm.pii_candidates import EXAMPLE, FAINT, KINDS, NAME_BEST, NAME_FAINT, NAME_GIVEN, NAME_N_GIVEN, NAME_TITLE, Candidate, Register, candidates
+from siltstone.llm.pii_register import KnownWords, with_likes
+from siltstone.session import settle
 
 #: Documents whose candidates the trees are fitted on, and the most labelled rows taken from them.
 SAMPLE_DOCS = 3000
 SAMPLE_ROWS = 200_000
-#: Most rows of a name register; it is sent to every worker.
+#: A name register of up to so many rows is sent to every worker; the words of the texts are joined with a larger one.
 REGISTER_ROWS = 100_000
 #: Parts of the sample; part 0 calibrates.
 FOLDS = 5
@@ -123,18 +125,24 @@ def _known_streets(streets: list[str], y: np.ndarray) -> np.ndarray:
     return np.array([1.0 if known[s] > 2 and starts.get(s, 0) <= known[s] else 0.0 if starts.get(s, 0) > known[s] else v for s, v in zip(streets, y)])
 
 
-def read_register(register: DataFrame) -> Register:
+def read_register(register: DataFrame) -> Register | None:
+    """The register, or None if it has more than ``REGISTER_ROWS`` rows."""
     rows = register.select(F.col("name_text").cast("string"), F.col("name_kind").cast("string")).distinct().limit(REGISTER_ROWS + 1).collect()
-    if len(rows) > REGISTER_ROWS:
-        raise ValueError(f"the register has more than {REGISTER_ROWS} rows")
-    return Register([tuple(r) for r in rows])
+    return Register([tuple(r) for r in rows]) if len(rows) <= REGISTER_ROWS else None
 
 
 def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def train(df: DataFrame, register: Register, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> dict[str, KindModel]:
+def _batch_register(register: Register | None, batch: pa.RecordBatch) -> Register:
+    """The shared register, or what the batch's own column says of its words."""
+    if register is not None:
+        return register
+    return KnownWords({w: v for likes in batch.column(2).to_pylist() for w, v in likes or ()})
+
+
+def train(docs: DataFrame, register: Register | None, sample_docs: int = SAMPLE_DOCS) -> dict[str, KindModel]:
     """One model a kind, from the candidates of a sample that label themselves.
 
     No labels are given, so they come from the candidates whose form and
@@ -142,23 +150,23 @@ def train(df: DataFrame, register: Register, id_col: str = "doc_id", text_col: s
     register name after a title, a lot number). The features that did so are
     hidden in a second copy of each row, so the trees learn to decide the rest
     from what remains. The sample is about ``sample_docs`` documents, drawn by the
-    hash of the id; it bounds the fit only, every document is searched.
+    hash of the id; it bounds the fit only, every document is searched. ``docs``:
+    ``doc_id, text``, and ``likes`` where the register is None.
     """
-    docs = _documents(df, id_col, text_col)
     share = min(1.0, sample_docs / max(1, docs.count()))
     taken = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    shared = df.sparkSession.sparkContext.broadcast(register)
+    shared = docs.sparkSession.sparkContext.broadcast(register)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
+            out, known = [], _batch_register(shared.value, b)
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                out += [(c.kind, c.label, list(c.form), list(c.hints), doc_id or 0, c.start, c.end) for c in candidates(text, shared.value, examples=True) if c.label != -1]
+                out += [(c.kind, c.label, list(c.form), list(c.hints), doc_id or 0, c.start, c.end) for c in candidates(text, known, examples=True) if c.label != -1]
             names = ("kind", "label", "form", "hints", "doc_id", "start", "stop")
             types = (pa.string(), pa.int32(), pa.list_(pa.float32()), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], list(names))
 
-    rows = taken.repartition(df.sparkSession.sparkContext.defaultParallelism, "doc_id").mapInArrow(run, "kind string, label int, form array<float>, hints array<string>, doc_id long, start long, stop long").limit(SAMPLE_ROWS).toPandas()
+    rows = taken.repartition(docs.sparkSession.sparkContext.defaultParallelism, "doc_id").mapInArrow(run, "kind string, label int, form array<float>, hints array<string>, doc_id long, start long, stop long").limit(SAMPLE_ROWS).toPandas()
     models = {}
     for kind in KINDS:
         own = rows[rows["kind"] == kind].sort_values(["doc_id", "start", "stop", "label"], kind="stable")  # the fit does not depend on the order of tasks
@@ -206,10 +214,14 @@ def scan(df: DataFrame, register: DataFrame, id_col: str = "doc_id", text_col: s
 
     ``spans`` is an array of (kind, start_pos, end_pos) in code points, empty for a
     null, empty or clean text; the redacted text of a null is null. Every document
-    is searched as a whole, and no row is shuffled.
+    is searched as a whole, and no row is shuffled. A register too large to be sent
+    to every worker is joined with the distinct words of the texts, and each
+    document gets what it says of its own words; the result is the same.
     """
-    names = read_register(register)
-    shared = df.sparkSession.sparkContext.broadcast((names, train(df, names, id_col, text_col, sample_docs)))
+    names, docs = read_register(register), _documents(df, id_col, text_col)
+    if names is None:
+        docs = settle(with_likes(docs, register), "with-likes")
+    shared = df.sparkSession.sparkContext.broadcast((names, train(docs, names, sample_docs)))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start_pos", pa.int64()), ("end_pos", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +232,7 @@ def scan(df: DataFrame, register: DataFrame, id_col: str = "doc_id", text_col: s
                 for at in range(0, whole.num_rows, 1024):
                     b = whole.slice(at, 1024)
                     texts = b.column(1).to_pylist()
-                    found = find(texts, models, register)
+                    found = find(texts, models, _batch_register(register, b))
                     spans = pa.array([[{"kind": c.kind, "start_pos": c.start, "end_pos": c.end} for c in f] for f in found], span)
                     columns = [b.column(0), spans]
                     if redacted:
@@ -230,7 +242,7 @@ def scan(df: DataFrame, register: DataFrame, id_col: str = "doc_id", text_col: s
         finally:
             gc.enable()
 
-    return _documents(df, id_col, text_col).mapInArrow(run, f"doc_id long, spans array<struct<{SPAN.replace(' ', ':').replace(',:', ',')}>>" + (", text string" if redacted else ""))
+    return docs.mapInArrow(run, f"doc_id long, spans array<struct<{SPAN.replace(' ', ':').replace(',:', ',')}>>" + (", text string" if redacted else ""))
 
 
 def findings(scanned: DataFrame) -> DataFrame:

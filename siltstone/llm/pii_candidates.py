@@ -53,6 +53,12 @@ class Candidate:
     label: int
 
 
+def readings(word: str) -> list[str]:
+    """A word folded, and with signs that are read for each other exchanged."""
+    w = fold(word)
+    return [w, *({w.replace("rn", "m"), w.replace("m", "rn")} - {w})]
+
+
 class Register:
     """Likeness of a word to the given and family names of a register.
 
@@ -80,11 +86,8 @@ class Register:
 
     def likeness(self, word: str) -> tuple[tuple[float, float, float], tuple[float, float, float]]:
         """For given and family: exact, one sign away, composed (0 to about 7)."""
-        w = fold(word)
-        out = self._reading(w)
-        for other in {w.replace("rn", "m"), w.replace("m", "rn")} - {w}:  # read for each other
-            out = tuple(max(a, b) for a, b in zip(out, self._reading(other)))
-        return out[:3], out[3:]
+        out = [max(x) for x in zip(*map(self._reading, readings(word)))]
+        return tuple(out[:3]), tuple(out[3:])
 
     def _reading(self, w: str) -> tuple[float, ...]:
         out = []
@@ -501,6 +504,26 @@ class Word:
 NOTHING = (0.0, 0.0, 0.0)
 
 
+class _Asking:
+    """Stands for a register and notes the words whose likeness is wanted."""
+
+    def __init__(self):
+        self.asked: set[str] = set()
+
+    def likeness(self, word: str) -> tuple[tuple[float, float, float], tuple[float, float, float]]:
+        self.asked.add(word)
+        return NOTHING, NOTHING
+
+
+def asked_words(text: str) -> set[str]:
+    """All words whose likeness :func:`names` may ask of a register for a text."""
+    asking = _Asking()
+    for raw in {m.group() for m in TOKEN.finditer(text)}:
+        Word(asking, raw)
+        _best_reading(asking, raw.removesuffix("."))
+    return asking.asked
+
+
 def _word_of(register: Register, raw: str) -> Word:
     known = register.words.get(raw)
     if known is None:

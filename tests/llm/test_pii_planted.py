@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import pii
 from siltstone.llm.pii_candidates import KINDS, Register, candidates
@@ -107,6 +108,16 @@ def test_recall_and_precision_by_kind(spark, pages, names):
     assert min(recall.values()) >= 0.9 and min(precision.values()) >= 0.9, (recall, precision, sorted((x[1], pages[x[0]][0][x[2] : x[3]]) for x in true - found)[:60])
 
 
+def test_a_register_of_any_size_gives_the_same(spark, pages, names, monkeypatch):
+    texts = [(i, t) for i, (t, _) in pages.items() if i < 250] + [(1000, None), (1001, ""), (None, "apply Marna Dun-\nby"), (None, "Mr. Van Dunby and Hask-\nMarlow Ormkirk")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("likes", F.lit("clash"))
+    register = spark.createDataFrame([*names, (None, "given"), ("Zed", None), ("Marna", "given")], "name_text string, name_kind string")
+    run = lambda: sorted(map(tuple, pii.scan(docs, register).selectExpr("doc_id", "to_json(spans)").collect()), key=repr)
+    small = run()
+    monkeypatch.setattr(pii, "REGISTER_ROWS", 3)
+    assert run() == small and any(len(r[1]) > 2 for r in small)
+
+
 def test_every_planted_span_is_a_candidate(pages, names):
     register = Register(names)
     missed = Counter()

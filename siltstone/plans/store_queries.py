@@ -196,8 +196,9 @@ def store_get(spark, sf_dir):
 
 
 def flush_placed(spark, sf_dir):
-    """The levels that three flushes go to: the keys below 40, those from 40 on, and all."""
-    ops, store, low = event_ops(spark, sf_dir), open_store(spark), F.col("key") < F.lit(bytearray((40).to_bytes(4, "big")))
+    """The levels that three flushes go to: the lower half of the keys' range, the upper, and all; a flush of nothing makes no run."""
+    middle = (table(spark, sf_dir, "events").agg(F.max("user_id")).first()[0] or 0) // 2
+    ops, store, low = event_ops(spark, sf_dir), open_store(spark), F.col("key") < F.lit(bytearray(middle.to_bytes(4, "big")))
     for part in (ops.filter(low), ops.filter(~low), ops):
         store.write(part)
         store.flush()
@@ -493,10 +494,11 @@ SELECT level, number FROM ((SELECT level, number FROM b UNION SELECT level, numb
 WHERE level IS NOT NULL AND number IS NOT NULL""",
     "dead_files": FILES + "SELECT number FROM f WHERE number NOT IN (SELECT number FROM a)",
     "store_get": L + "SELECT key_hex, n.seq IS NOT NULL AS found, n.value FROM c LEFT JOIN (SELECT * FROM n WHERE version = 1 AND op = 1) n USING (key_hex)",
-    "flush_placed": L + """, p AS (SELECT 1 AS number, min(key_hex) AS lo, max(key_hex) AS hi FROM l WHERE key_hex < '00000028' HAVING count(*) > 0
-  UNION ALL SELECT 2, min(key_hex), max(key_hex) FROM l WHERE key_hex >= '00000028' HAVING count(*) > 0
+    "flush_placed": L + """, m AS (SELECT lpad(hex(max(user_id) // 2), 8, '0') AS middle FROM events),
+p AS (SELECT 1 AS part, min(key_hex) AS lo, max(key_hex) AS hi FROM l, m WHERE key_hex < middle HAVING count(*) > 0
+  UNION ALL SELECT 2, min(key_hex), max(key_hex) FROM l, m WHERE key_hex >= middle HAVING count(*) > 0
   UNION ALL SELECT 3, min(key_hex), max(key_hex) FROM l HAVING count(*) > 0)
-SELECT CAST(number AS BIGINT) AS number, CASE WHEN EXISTS (SELECT 1 FROM p q WHERE q.number < p.number AND q.lo <= p.hi AND q.hi >= p.lo) THEN 1 ELSE 2 END AS level FROM p""",
+SELECT row_number() OVER (ORDER BY part) AS number, CASE WHEN EXISTS (SELECT 1 FROM p q WHERE q.part < p.part AND q.lo <= p.hi AND q.hi >= p.lo) THEN 1 ELSE 2 END AS level FROM p""",
     "vlog_rewrite": "SELECT doc_id, octet_length(encode(text)) AS bytes, md5(text) AS digest FROM documents WHERE doc_id IS NOT NULL",
     "block_cut": L.replace("WITH l", "WITH RECURSIVE l") + """, w AS (SELECT file_no, key_hex, seq, row_number() OVER (PARTITION BY file_no ORDER BY key_hex, seq DESC) AS i,
   CASE WHEN coalesce(octet_length(encode(value)), 0) + 1 < 128 THEN 1 WHEN octet_length(encode(value)) + 1 < 16384 THEN 2 ELSE 3 END + coalesce(octet_length(encode(value)), 0) + 14 AS size FROM l),

@@ -69,7 +69,7 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = {
     "p7_check": """
-SELECT rule, CASE WHEN rule = 'coverage' THEN (SELECT count(DISTINCT doc_id) FROM documents) END AS n_documents, 0 AS n_broken
+SELECT rule, CASE WHEN rule = 'coverage' THEN (SELECT count(DISTINCT doc_id) FROM documents) END AS n_documents, CAST(0 AS BIGINT) AS n_broken
 FROM (VALUES ('capacity'), ('contiguity'), ('coverage'), ('whole'), ('numbering')) AS t(rule)""",
     "p3_found": """
 SELECT DISTINCT incoming_id FROM incoming_key i WHERE key IS NOT NULL AND (

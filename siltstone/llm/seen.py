@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.session import settle
+from siltstone.sources.versions import VersionLog
+
 #: Share of new keys that may be taken for seen ones.
 TARGET_FP = 0.01
 #: Bits of a block; all probes of a key stay in one block (one cache line).
@@ -22,7 +26,8 @@ FILTERS_A_TASK = 4
 #: A key is remembered by a task while it holds more than so large a share of an Arrow batch, and the most keys remembered.
 OFTEN, REMEMBERED = 0.01, 1000
 #: What a row is: an earlier key, an arrival, a known absent key, or an arrival that repeats one of its own task.
-EARLIER, ARRIVAL, ABSENT, REPEAT = 0, 1, 2, 3
+#: Then the bits of a filter, as they were before the run and after it.
+EARLIER, ARRIVAL, ABSENT, REPEAT, BEFORE, AFTER = 0, 1, 2, 3, -1, 4
 
 
 def filter_shape(n_keys: int, target_fp: float = TARGET_FP) -> tuple[int, int]:
@@ -151,7 +156,9 @@ def layout(n_keys: int, tasks: int, keys_per_filter: int = KEYS_PER_FILTER) -> t
     return n, math.ceil(mean + 6 * math.sqrt(mean))
 
 
-def bloom_answers(rows: DataFrame, absent: DataFrame | None = None, target_fp: float = TARGET_FP, keys_per_filter: int | None = None) -> DataFrame:
+def bloom_answers(
+    rows: DataFrame, absent: DataFrame | None = None, target_fp: float = TARGET_FP, keys_per_filter: int | None = None, shape: tuple[int, int] | None = None, start: DataFrame | None = None, keep: bool = False
+) -> DataFrame:
     """``phase, key, id, seen``: what the filters answer for each arrival and each known absent key.
 
     ``rows``: :func:`keyed_rows`, read twice, so best a written table. Its keys
@@ -160,20 +167,33 @@ def bloom_answers(rows: DataFrame, absent: DataFrame | None = None, target_fp: f
     keys, then every arrival is queried and inserted in the order of ``id``.
     ``absent``: keys (column ``key``) that are queried at the end and never
     inserted. Only the bits of one filter and one Arrow batch are in memory.
+
+    ``shape``: number of filters and keys each is sized for, if given from an
+    earlier run; ``start``: that run's filters (``filter_no, words``), which are
+    gone on with. With ``keep`` the filters come out too, as rows of phase
+    ``AFTER`` with the number as ``id`` and the bits as ``key``.
     """
     spark = rows.sparkSession
     asked = rows.filter(F.col("phase") != REPEAT)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_filters, per_filter = layout(asked.agg(F.approx_count_distinct("key", 0.01)).first()[0], tasks)
+    n_filters, per_filter = shape or layout(asked.agg(F.approx_count_distinct("key", 0.01)).first()[0], tasks)
     per_filter = keys_per_filter or per_filter
     if absent is not None:
         asked = asked.unionByName(absent.select(F.lit(ABSENT).alias("phase"), "key", F.lit(None).cast("long").alias("id")))
     h1 = F.xxhash64("key")
     hashed = asked.select("phase", "key", "id", h1.alias("h1"), F.xxhash64("key", F.lit(1)).alias("h2"), (h1.bitwiseAND(F.lit(0xFFFFFFFF)) % n_filters).cast("int").alias("filter_no"))
+    if start is not None:
+        none = F.lit(0).cast("long")
+        hashed = hashed.unionByName(start.select(F.lit(BEFORE).alias("phase"), F.col("words").alias("key"), none.alias("id"), none.alias("h1"), none.alias("h2"), F.col("filter_no").cast("int")))
     placed = hashed.repartitionById(tasks, F.col("filter_no") % tasks).sortWithinPartitions("filter_no", "phase", "id")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, bloom = None, None
+
+        def after() -> pa.RecordBatch:
+            held = pa.array([bloom.words.tobytes()], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array([AFTER], pa.int32()), held, pa.array([int(current)], pa.int64()), pa.array([False])], ["phase", "key", "id", "seen"])
+
         for b in batches:
             phase, h1, h2, number = (b.column(c).to_numpy(zero_copy_only=False) for c in ("phase", "h1", "h2", "filter_no"))
             seen = np.zeros(b.num_rows, bool)
@@ -182,16 +202,69 @@ def bloom_answers(rows: DataFrame, absent: DataFrame | None = None, target_fp: f
                 if high == low:
                     continue
                 if number[low] != current:
+                    if keep and bloom:
+                        yield after()
                     current, bloom = number[low], BlockedBloom(per_filter, target_fp)
-                old, new = low + np.searchsorted(phase[low:high], [ARRIVAL, ABSENT])
-                bloom.insert(h1[low:old], h2[low:old])
+                first, old, new = low + np.searchsorted(phase[low:high], [EARLIER, ARRIVAL, ABSENT])
+                if first > low:  # one row a filter
+                    bloom.words = np.frombuffer(b.column("key")[low].as_py(), np.uint64).copy()
+                bloom.insert(h1[first:old], h2[first:old])
                 seen[old:new] = bloom.query_then_insert(h1[old:new], h2[old:new])
                 seen[new:high] = bloom.contains(h1[new:high], h2[new:high])
-            yield pa.RecordBatch.from_arrays([b.column("phase"), b.column("key").cast(pa.binary()), b.column("id"), pa.array(seen)], ["phase", "key", "id", "seen"]).filter(pa.array(phase != EARLIER))
+            yield pa.RecordBatch.from_arrays([b.column("phase"), b.column("key").cast(pa.binary()), b.column("id"), pa.array(seen)], ["phase", "key", "id", "seen"]).filter(pa.array(phase > EARLIER))
+        if keep and bloom:
+            yield after()
 
     return placed.mapInArrow(decide, "phase int, key binary, id long, seen boolean")
 
 
+class KeptFilters:
+    """Filters that go on from run to run, so that earlier keys need not be read again to be asked for.
+
+    Each run's filters are written to a new folder and published by one rename
+    together with the run's name; a run that is repeated under its name answers
+    from the filters it started with, so the answers are the same. The filters are
+    sized once for ``planned`` keys; ``load`` says how many are in them, beyond the
+    plan the rate of wrong answers rises and they should be built anew.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, planned: int, target_fp: float = TARGET_FP):
+        self.spark, self.path, self.target_fp = spark, path.rstrip("/"), target_fp
+        self.versions = VersionLog(spark, f"{self.path}/versions")
+        self.shape = layout(planned, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def _filters(self, folder: str) -> DataFrame:
+        return self.spark.read.schema("id long, key binary").parquet(f"{self.path}/filters/{folder}").selectExpr("id as filter_no", "key as words")
+
+    def answer(self, rows: DataFrame, run: str) -> DataFrame:
+        """The answers of :func:`bloom_answers` for the rows of a run, against all runs before it."""
+        base = self.versions.current()
+        state = self.versions.read(base)
+        done = state.get("run") == run
+        before = state.get("before") if done else state.get("folder")
+        shape = tuple(state.get("shape", self.shape))
+        out = settle(bloom_answers(rows, None, self.target_fp, shape=shape, start=self._filters(before) if before else None, keep=not done), "kept-answers")
+        if not done:
+            folder = uuid.uuid4().hex
+            out.filter(F.col("phase") == AFTER).select("id", "key").write.parquet(f"{self.path}/filters/{folder}")
+            self.versions.publish(base, {"run": run, "before": before, "folder": folder, "shape": list(shape)})
+        return out.filter(F.col("phase") != AFTER)
+
+    def load(self) -> float:
+        """The share of bits that are set; about a half is what filters have that hold what they were planned for."""
+        folder = self.versions.read().get("folder")
+        if not folder:
+            return 0.0
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                words = [np.frombuffer(w, np.uint64) for w in b.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([int(np.bitwise_count(w).sum()) for w in words], pa.int64()), pa.array([64 * len(w) for w in words], pa.int64())], ["ones", "bits"])
+
+        ones, bits = self._filters(folder).select("words").mapInArrow(count, "ones long, bits long").agg(F.sum("ones"), F.sum("bits")).first()
+        return ones / bits
+
+
 def verified(rows: DataFrame, answers: DataFrame) -> DataFrame:
     """``key, id`` of the arrivals that the filters rightly claim to have seen.
 

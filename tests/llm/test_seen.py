@@ -97,3 +97,21 @@ def test_measured_error(spark):
     assert row.n_new == 2000 and row.new_rate == row.n_new_wrong / 2000 < 0.02
     none = seen.error_rate(*answered(spark, [], [])).first()
     assert none.n_probes == 0 and none.rate is None and none.new_rate is None
+
+
+def test_filters_go_on_from_run_to_run(spark, tmp_path):
+    key = lambda i: i.to_bytes(4, "big")
+    rows = lambda old, new: seen.keyed_rows(spark.createDataFrame([(key(i), None) for i in old], KEYS), spark.createDataFrame([(n, key(i), None) for n, i in enumerate(new)], INCOMING)).cache()
+    kept = lambda: seen.KeptFilters(spark, str(tmp_path), 4000)
+    told = lambda df: sorted((r.id, r.seen) for r in df.collect())
+    assert kept().load() == 0
+    first = told(kept().answer(rows(range(1000), range(900, 1500)), "day 1"))
+    assert all(x for n, x in first if n < 100) and sum(x for n, x in first if n >= 100) < 20
+    day2 = rows([], [*range(1400, 1600), 5, 3000])
+    second = told(kept().answer(day2, "day 2"))
+    assert all(x for n, x in second if n < 100 or n == 200) and sum(x for n, x in second if n >= 100) < 20
+    assert told(kept().answer(day2, "day 2")) == second  # repeated after it was published
+    third = told(kept().answer(rows([], [3000, 1599, 0, 9999]), "day 3"))
+    assert [x for _, x in third][:3] == [True] * 3
+    assert 0.05 < kept().load() < 0.5
+    assert kept().versions.current() == 3

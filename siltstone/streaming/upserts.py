@@ -15,6 +15,8 @@ from siltstone.sources.versions import VersionLog, query_id
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 TABLE = "key binary, seq long, op int, value binary"
+#: Files that a micro-batch takes at most.
+MOST_FILES = 100_000
 #: Batches of upserts that a table gathers before they are folded into one.
 FOLD = 8
 
@@ -158,8 +160,8 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int) -> DataFra
 
 
 def in_rounds(spark: SparkSession, path: str, rounds: int) -> int:
-    """Files a micro-batch, so that a table is streamed in about ``rounds`` of them."""
-    return max(1, -(-len(spark.read.parquet(path).inputFiles()) // rounds))
+    """Files a micro-batch, so that a table is streamed in about ``rounds`` of them, or in more if each would take too many files."""
+    return min(MOST_FILES, max(1, -(-len(spark.read.parquet(path).inputFiles()) // rounds)))
 
 
 def rebuild(spark: SparkSession, log_path: str, batch_path: str, rounds: int = 3) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.model import CHANGELOG, DELETE, PUT
@@ -44,7 +44,12 @@ def number_batches(ops: DataFrame, base: int) -> DataFrame:
     return ordered.position(ops, [F.asc("batch_id"), F.asc("pos")], "seq").withColumn("seq", F.col("seq") + (base - 1))
 
 
+def entry_bytes() -> Column:
+    """Bytes of the keys and values of a changelog, as an aggregate; 0 for none."""
+    size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
+    return F.coalesce(F.sum(size.cast("long")), F.lit(0))
+
+
 def memory_use(log: DataFrame) -> DataFrame:
     """``bytes``: the sizes of all keys and values, the measure that a flush waits for."""
-    size = F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))
-    return log.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("bytes"))
+    return log.agg(entry_bytes().alias("bytes"))

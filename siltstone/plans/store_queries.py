@@ -123,13 +123,13 @@ def run_metadata(spark, sf_dir):
 
 
 def zone_prune(spark, sf_dir):
-    """Files whose key range covers a key."""
-    return runs.zone_prune(manifest.file_table(table(spark, sf_dir, "file_meta")), be_bytes(F.lit(KEY), 4)).select("number")
+    """Live files whose key range covers a key."""
+    return runs.zone_prune(live(spark, sf_dir), be_bytes(F.lit(KEY), 4)).select("number")
 
 
 def run_overlaps(spark, sf_dir):
-    """Number of files that overlap each file."""
-    return runs.overlaps(settle(manifest.file_table(table(spark, sf_dir, "file_meta")), "files"), "number")
+    """Number of live files that overlap each live file."""
+    return runs.overlaps(live(spark, sf_dir), "number")
 
 
 def l0_overlap_groups(spark, sf_dir):
@@ -463,8 +463,8 @@ SQL = {
     "run_metadata": L + """, m AS (SELECT *, key_hex || lpad(hex(seq * 256 + op), 16, '0') AS ik, row_number() OVER (PARTITION BY file_no ORDER BY key_hex, seq DESC) AS i,
   row_number() OVER (PARTITION BY file_no ORDER BY key_hex DESC, seq) AS j FROM l)
 SELECT file_no, count(*) AS n_entries, CAST(sum(4 + coalesce(octet_length(encode(value)), 0)) AS BIGINT) AS file_size, max(ik) FILTER (i = 1) AS smallest, max(ik) FILTER (j = 1) AS largest FROM m GROUP BY file_no""",
-    "zone_prune": FILES + f"SELECT number FROM r WHERE lo <= lpad(hex({KEY}), 8, '0') AND hi >= lpad(hex({KEY}), 8, '0')",
-    "run_overlaps": FILES + "SELECT x.number, count(*) - 1 AS n_overlaps FROM r x JOIN r y ON x.lo <= y.hi AND x.hi >= y.lo GROUP BY x.number",
+    "zone_prune": FILES + f"SELECT number FROM a WHERE lo <= lpad(hex({KEY}), 8, '0') AND hi >= lpad(hex({KEY}), 8, '0')",
+    "run_overlaps": FILES + "SELECT x.number, count(*) - 1 AS n_overlaps FROM a x JOIN a y ON x.lo <= y.hi AND x.hi >= y.lo GROUP BY x.number",
     "l0_overlap_groups": FILES + """, o AS (SELECT number, lo, hi, CASE WHEN lo <= max(hi) OVER (ORDER BY lo, hi, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS opens FROM a WHERE level = 0 AND lo IS NOT NULL AND hi IS NOT NULL)
 SELECT number, CAST(sum(opens) OVER (ORDER BY lo, hi, number) AS BIGINT) AS group_no FROM o""",
     "compaction_score": FILES + """, p AS (SELECT level, count(*) AS n_files, CAST(sum(file_size) AS BIGINT) AS bytes FROM a GROUP BY level),

@@ -222,9 +222,9 @@ class Store(View):
         path = f"{self.dir}/log/{uuid.uuid4().hex}"
         rows.select(*CHANGELOG.names).write.parquet(path)
         back = self.spark.read.schema(CHANGELOG).parquet(path)
-        n = back.count()
+        n, size = back.agg(F.count("*"), write.entry_bytes()).first()
         if n or changes:
-            self._log(path, n, write.memory_use(back).first()[0], **changes)
+            self._log(path, n, size, **changes)
 
     def _log(self, path: str, n: int, size: int, **changes: object) -> None:
         name = f"log-{self.state['next_seq']:020d}-{len(self.logs):06d}"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.session import drop_path, scratch
 from siltstone.sources.versions import VersionLog, query_id
-from siltstone.streaming.upserts import file_stream, in_rounds
+from siltstone.streaming.upserts import file_stream, stream_in_rounds
 
 #: A file is small below this size.
 SMALL = 16_384
@@ -150,8 +150,7 @@ def consolidate(spark: SparkSession, entry_path: str, chosen: DataFrame, rounds:
     at = scratch(spark, "compactor")
     chosen.write.parquet(f"{at}/chosen")
     fixed = spark.read.schema("number long").parquet(f"{at}/chosen")
-    entries = file_stream(spark, entry_path, in_rounds(spark, entry_path, rounds))
-    records = entries.filter("seq is not null").join(fixed, "number", "left_semi").select("key", "seq", "op")
+    records = stream_in_rounds(spark, entry_path, rounds).filter("seq is not null").join(fixed, "number", "left_semi").select("key", "seq", "op")
     out = Consolidated(spark, f"{at}/out", ["key", "seq", "op"], ["key", "seq"], target_bytes)
     compact_stream(records, out, f"{at}/checkpoint")
     return out.read(records.schema)

@@ -159,16 +159,22 @@ def file_stream(spark: SparkSession, path: str, files_per_batch: int) -> DataFra
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def in_rounds(spark: SparkSession, path: str, rounds: int) -> int:
-    """Files a micro-batch, so that a table is streamed in about ``rounds`` of them, or in more if each would take too many files."""
-    return min(MOST_FILES, max(1, -(-len(spark.read.parquet(path).inputFiles()) // rounds)))
+def stream_in_rounds(spark: SparkSession, path: str, rounds: int) -> DataFrame:
+    """A table as a stream of about ``rounds`` micro-batches, or of more if each would take too many files.
+
+    A table of fewer files than that is written out as so many first.
+    """
+    files = len(spark.read.parquet(path).inputFiles())
+    if files < rounds:
+        split = scratch(spark, "split")
+        spark.read.parquet(path).repartition(rounds).write.parquet(split)
+        path, files = split, rounds
+    return file_stream(spark, path, min(MOST_FILES, -(-files // rounds)))
 
 
 def rebuild(spark: SparkSession, log_path: str, batch_path: str, rounds: int = 3) -> DataFrame:
     """The current table from the log and the wire batches, both read as streams in ``rounds`` micro-batches."""
-    changes = entry_changes(file_stream(spark, log_path, in_rounds(spark, log_path, rounds))).unionByName(
-        batch_changes(file_stream(spark, batch_path, in_rounds(spark, batch_path, rounds)))
-    )
+    changes = entry_changes(stream_in_rounds(spark, log_path, rounds)).unionByName(batch_changes(stream_in_rounds(spark, batch_path, rounds)))
     at = scratch(spark, "upserts")
     table = UpsertTable(spark, f"{at}/table")
     apply_changes(changes, table, f"{at}/checkpoint")

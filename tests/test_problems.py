@@ -114,6 +114,13 @@ class TestUpserts:
             newest[e[0]] = e
         assert self.run(spark, tmp_path, entries, [[]], rounds) == {k: (e[1], e[3]) for k, e in newest.items() if e[2] == 1}
 
+    def test_a_single_file_is_streamed_in_rounds_too(self, spark, tmp_path):
+        path = write_files(spark, f"{tmp_path}/one", [[(bytes([s % 7]), s, 1, b"v") for s in range(90)]], CHANGE)
+        table = upserts.UpsertTable(spark, f"{tmp_path}/table")
+        upserts.apply_changes(upserts.entry_changes(upserts.stream_in_rounds(spark, path, 3)), table, f"{tmp_path}/checkpoint")
+        assert len(table.versions.read()["deltas"]) == 3
+        assert {bytes(r.key)[0]: r.seq for r in table.read().collect()} == {s % 7: s for s in range(90)}
+
     def stream(self, spark, tmp, path, checkpoint="checkpoint"):
         table = upserts.UpsertTable(spark, f"{tmp}/table")
         upserts.apply_changes(upserts.entry_changes(upserts.file_stream(spark, path, 1)), table, f"{tmp}/{checkpoint}")

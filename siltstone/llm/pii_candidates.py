@@ -524,10 +524,14 @@ def asked_words(text: str) -> set[str]:
     return asking.asked
 
 
+#: Words that a worker remembers, some 120 MB; then it begins anew, which costs time and changes nothing.
+REMEMBERED = 200_000
+
+
 def _word_of(register: Register, raw: str) -> Word:
     known = register.words.get(raw)
     if known is None:
-        if len(register.words) > 400_000:
+        if len(register.words) > REMEMBERED:
             register.words.clear()
         known = register.words[raw] = Word(register, raw)
     return known

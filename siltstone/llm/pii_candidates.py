@@ -168,7 +168,7 @@ DIGIT = r"[0-9]|[OolI|!SZBbGg�'](?![a-z]|[A-Z]{2})"
 GROUP = re.compile(r"[0-9](?:[0-9OolI|!SZBbGg�'](?![a-z]{2}))*|[OolI|SZB](?=[0-9])[0-9OolI|!SZB]*")
 SIX = re.compile(r"(?:[^0-9OolI|!SZBbGg�']*+[0-9OolI|!SZBbGg�']){6}")
 NUMBERS = re.compile(
-    r"(?<![\w£$€.,:/\-])(?:[A-Z]{2}(?:[-\s]{0,2}(?=\d)|(?=[OolISZB|]\d))|(?:[A-Z]{3}|[A-Z])[- ]?(?=\d))?[+(]?\s?"
+    r"(?<![\w£$€.,:/\-])(?:[A-Z]{2}(?:[-\s]{0,2}(?=\d)|(?=[OolISZB|]\d))|(?:[A-Z]{3}[-\s]?|[A-Z][- ]?)(?=\d))?[+(]?\s?"
     + rf"(?:[0-9OolI|SZB](?=[0-9 )\-./OolI|SZB!])|[0-9])(?:{DIGIT}|[ \t\xa0./)(\-–]|\s(?=[\d(]))*"
     + r"(?:[-\s]{0,3}(?<![\w])[A-Z](?![\w'’])|[A-Z](?![\w]))?"
 )
@@ -240,15 +240,17 @@ def _number(text: str, run: str, base: int, a: int, b: int, groups: list[tuple[i
     lead = text[max(0, base - 40) : base + a if a < 3 or run[:a].strip(" -").lower() in LEADS else base].lower()
     words = LETTERS.findall(LAST_DIGIT.split(BREAK.sub("", lead) if "-" in lead else lead)[-1])[-3:]
     inner = [k + 1 for k, (x, y) in enumerate(zip(groups, groups[1:])) if LOOSE.search(run, x[1], y[0])]
-    # two whole numbers side by side
-    double = any(min(sum(y - x for x, y in groups[:k]), sum(y - x for x, y in groups[k:])) > 6 for k in inner)
+    # two whole numbers side by side, unless groups of one width run on
+    even = len({y - x for x, y in groups}) == 1 and size >= 3 * len(groups)
+    double = not even and any(min(sum(y - x for x, y in groups[:k]), sum(y - x for x, y in groups[k:])) > 6 for k in inner)
     line_breaks = 0 if double else len(LINE_END.findall(span))
     more_left = float(not letters and any(x.isalnum() for x in LOOSE.split(run[max(0, a - 24) : a])[-1]))
     more_right = float(not tail and any(x.isalnum() for x in LOOSE.split(run[b : b + 24])[0]))
+    ordinary = len(letters) not in (0, 2) and bool(re.search(rf"(?<!\w){letters.lower()}(?!\w)", text))  # the letters are a word of the text
     lead = next((k for w in reversed(words) for k, s in enumerate((LEAD_PHONE, LEAD_ID, LEAD_NOT)) if w in s), 2 if "nr" in words else -1)
     lead_phone, lead_id, lead_not = float(lead == 0), float(lead == 1), float(lead == 2)
     hint = (shape, p1, p2, n1, shape[:2] + "|" + re.sub(r"\D", "", span)[:1])
-    form = (size, len(groups), groups[0][1] - groups[0][0], groups[-1][1] - groups[-1][0], float("+" in span), float("(" in span), float(len(set(seps)) > 1), float(bool(letters)), float(bool(tail)), size - clean, line_breaks, more_left, more_right, lead_phone, lead_id, lead_not, float(first), float(final), float(span[:1] == "0"), float(span[:1] == "9"), float("." in span), float("-" in span), float("/" in span), float(double))
+    form = (size, len(groups), groups[0][1] - groups[0][0], groups[-1][1] - groups[-1][0], float("+" in span), float("(" in span), float(len(set(seps)) > 1), float(bool(letters)), float(bool(tail)), size - clean, line_breaks, more_left, more_right, lead_phone, lead_id, lead_not, float(first), float(final), float(span[:1] == "0"), float(span[:1] == "9"), float("." in span), float("-" in span), float("/" in span), float(double), float(ordinary))
     # the whole run right after its lead word settles it
     whole = not more_left and not more_right and not line_breaks and not double
     heading = len(letters) > 2 and span[len(letters)] == " " and text[end : end + 4].strip().isupper()
@@ -256,7 +258,7 @@ def _number(text: str, run: str, base: int, a: int, b: int, groups: list[tuple[i
     ident = -1
     if whole and (lead_id or words[-2:] == ["member", "no"]) and (letters or size >= 8):
         ident = 1
-    elif lead_phone or lead_not or double or heading or (more_left and more_right) or (letters and not tail and SUFFIX.match(text, end)):
+    elif lead_phone or lead_not or double or heading or ordinary or (more_left and more_right) or (letters and not tail and SUFFIX.match(text, end)):
         ident = 0
     if not letters:
         yield Candidate("phone", start, end, form, hint, phone)
@@ -434,7 +436,7 @@ def _address(text: str, start: int, end: int, form_of: str, like: float, words:
     goes_on = float(bool(re.match(r"[ \t\xa0][A-ZÀ-ÖØ-Þ]", text[end : end + 2])))
     hanging = float(form_of == "first" and words > 1 and bool(re.search(r"[\r\n\v\f\x85\u2028\u2029]\s*[A-ZÀ-ÖØ-Þ][^\r\n]*$", span)))
     form = (like, words, len(span), n_digits, breaks, float("-\n" in span), upper, float("," in span), float(form_of == "last"), float(form_of == "first"), float(form_of == "spanish"), float(form_of == "joined"), float(first), float(final), month, money, goes_on, hanging)
-    label = 0 if money or month or form_of == "joined" and words > 2 or n_digits > 5 or form_of in ("first", "last") and p1[:1] == "9" else 1 if like == 1 and not breaks and words <= 3 else -1
+    label = 0 if money or month or form_of == "joined" and words > 2 or n_digits > 5 or form_of in ("first", "last") and p1[:1] == "9" else 1 if like == 1 and not breaks and (words <= 3 or not upper) else -1
     if form_of == "first" and (goes_on or hanging):  # the name of the street goes on, or had ended before
         label = 0
     return Candidate("address", start, end, form, (street, p1, n1, form_of + str(words)), label)

@@ -6,8 +6,8 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, replace
 from functools import lru_cache
+from typing import NamedTuple
 
 # Signs that scanners confuse, each mapped to one of its class.
 LOOKALIKE = str.maketrans({"0": "o", "c": "e", "o": "o", "1": "l", "i": "l", "|": "l", "!": "l", "j": "l", "h": "b", "t": "f", "ſ": "s", "5": "s", "q": "g", "9": "g", "8": "b", "u": "n", "v": "y", "’": "'"})
@@ -40,8 +40,7 @@ def fold(word: str) -> str:
     return flat.translate(LOOKALIKE)
 
 
-@dataclass(frozen=True)
-class Candidate:
+class Candidate(NamedTuple):
     kind: str
     start: int
     end: int
@@ -110,7 +109,8 @@ class Register:
 
 DIGITS = re.compile(r"\d+")
 LINE_END = re.compile(r"[\r\n\v\f\x85\u2028\u2029]")
-LINE_START = re.compile(r"(?:^|[\r\n\v\f\x85\u2028\u2029])[\s*]*$")
+LINE_ENDS = set("\r\n\v\f\x85\u2028\u2029")
+BLANKS_AND_STARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace()) + "*"
 LINE_STOP = re.compile(r"[ \t\xa0]*(?:[\r\n\v\f\x85\u2028\u2029]|$)")
 LAST_DIGIT = re.compile(r"\d")
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -128,7 +128,8 @@ def around(text: str, start: int, end: int) -> tuple[str, str, str, str, bool, b
     after = WORD.findall(BREAK.sub("", right) if "-" in right else right)[:2]
     p2, p1 = [*["^"] * (2 - len(before)), *map(_word, before)]
     n1, n2 = [*map(_word, after), *["$"] * (2 - len(after))]
-    return p1, p2, n1, n2, bool(LINE_START.search(left)), bool(LINE_STOP.match(right))
+    kept = left.rstrip(BLANKS_AND_STARS)
+    return p1, p2, n1, n2, not kept or not LINE_ENDS.isdisjoint(left[len(kept) :]), bool(LINE_STOP.match(right))
 
 
 # --- email ---------------------------------------------------------------
@@ -275,8 +276,8 @@ HOUSE = r"\d[\dOolI]*(?:[a-dA-D]|\s?(?:bis|ter))?"
 CAP = r"[A-ZÀ-ÖØ-Þ](?:[\w|�\xad!'’]|-(?:[ \t]*[\r\n]+\s{0,2})?(?=\w))*\.?"
 GAP = r"(?:[ \t\xa0]+|[ \t\xa0]*[\r\n\v\f\x85\u2028\u2029]+[ \t\xa0]*)"
 
-#: Where a house number may begin, the number with what divides it from the street, and at the end of an address.
-HOUSE_START = re.compile(r"(?<![\w.,/£$€\-])\d")
+#: Where a house number may begin (a number that goes on after a point or comma is none), the number with what divides it from the street, and at the end of an address.
+HOUSE_START = re.compile(r"(?<![\w.,/£$€\-])\d[\dOolI]*+(?![.,:]\d)")
 HOUSE_AHEAD = re.compile(rf"{HOUSE},?{GAP}(?=[^\W\d_])")
 HOUSE_END = re.compile(rf"{HOUSE}(?!\w)")
 CAPITAL, NEXT = re.compile(CAP), re.compile(GAP)
@@ -618,7 +619,7 @@ def names(text: str, register: Register, examples: bool = False) -> Iterator[Can
     for k in range(1, n) if examples else ():
         a, b = tokens[k - 1][3], tokens[k][3]
         if a.kind == b.kind == "W" and a.text not in shown and a.best_given < LIKELY_GIVEN and (b.given[0] or b.best_family < 0.5) and adjoins(k - 1, k):
-            yield replace(_name(text, tokens[k - 1][0], tokens[k][1], NO_TITLE, 1, 0, a.given, b.family, 0, b.text, 0.0, a.text), label=EXAMPLE)
+            yield _name(text, tokens[k - 1][0], tokens[k][1], NO_TITLE, 1, 0, a.given, b.family, 0, b.text, 0.0, a.text)._replace(label=EXAMPLE)
             shown.add(a.text)
 
     crossed = {m.end(): tokens[k][3].text for k in titles if (m := CROSSED.match(text, tokens[k][2]))}
